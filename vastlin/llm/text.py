@@ -145,3 +145,33 @@ def word_hash(text: str) -> int:
     """The hash that Words gives to one word."""
     w = Words(pa.array([text]), np.zeros(256, bool))
     return int(w.hashes[0]) if len(w.hashes) else 0
+
+
+def add_columns(df, text: str, make, fields: list, limit: int = CHUNK_BYTES):
+    """``df`` with the columns that ``make(batch)`` returns for each chunk of whole texts; columns of the same names are replaced.
+
+    No shuffle; a Python worker holds one Arrow batch and the arrays of one chunk.
+    """
+    from pyspark.sql import types as T
+
+    names = [f.name for f in fields]
+    keep = [c for c in df.columns if c not in names]
+    schema = T.StructType([df.schema[c] for c in keep] + fields)
+
+    def run(batches):
+        for whole in batches:
+            for batch in chunks(whole, text, limit):
+                yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], [*keep, *names])
+
+    return df.select(*keep).mapInArrow(run, schema)
+
+
+def text_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def remainder(column: str, n: int):
+    """crc32 of a column as text, modulo n; 0 for null."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))
