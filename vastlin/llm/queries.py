@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vastlin.llm import bpe, decontaminate, language, quality
+from vastlin.llm import bpe, decontaminate, jaccard, language, quality, suffix_tree
 
 #: A public tokenizer file, found through its package so that every executor resolves its own copy.
 WORD_BPE = "word_bpe_49k.json"
@@ -30,19 +30,29 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
+    "op4_jaccard": op4_jaccard,
     "op5_decontaminate": op5_decontaminate,
+    "op6_suffix_tree": op6_suffix_tree,
     "op8_bpe": op8_bpe,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op4_jaccard": jaccard.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
