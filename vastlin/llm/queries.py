@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vastlin.llm import bpe, decontaminate, jaccard, language, quality, suffix_tree
+from vastlin.llm import bpe, decontaminate, jaccard, language, quality, simhash, suffix_tree
 
 #: A public tokenizer file, found through its package so that every executor resolves its own copy.
 WORD_BPE = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -51,8 +55,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard": op4_jaccard,
     "op5_decontaminate": op5_decontaminate,
     "op6_suffix_tree": op6_suffix_tree,
+    "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op4_jaccard": jaccard.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op4_jaccard": jaccard.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_simhash": simhash.ORACLE}
