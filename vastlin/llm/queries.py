@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vastlin.llm import bpe, decontaminate, jaccard, language, quality, simhash, suffix_tree
+from vastlin.llm import bpe, decontaminate, jaccard, language, pii, quality, simhash, suffix_tree
 
 #: A public tokenizer file, found through its package so that every executor resolves its own copy.
 WORD_BPE = "word_bpe_49k.json"
@@ -46,6 +46,10 @@ def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_tree": op6_suffix_tree,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
+    "op9_pii": op9_pii,
     "op10_quality": op10_quality,
 }
 
