@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vastlin.llm import bpe, decontaminate, jaccard, language, pii, quality, simhash, suffix_tree
+from vastlin.llm import bpe, decontaminate, jaccard, language, passages, pii, quality, simhash, suffix_tree, templates
 
 #: A public tokenizer file, found through its package so that every executor resolves its own copy.
 WORD_BPE = "word_bpe_49k.json"
@@ -30,10 +30,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.clean(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_passages": op1_passages,
     "op2_language": op2_language,
+    "op3_templates": op3_templates,
     "op4_jaccard": op4_jaccard,
     "op5_decontaminate": op5_decontaminate,
     "op6_suffix_tree": op6_suffix_tree,
