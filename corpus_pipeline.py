@@ -1,23 +1,69 @@
-"""The corpus pipeline: stages that each read what the one before has kept."""
+"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, benchmark decontamination, BPE.
+
+Each stage takes all that its predecessor kept and returns the columns of ``documents``; the last returns tokens' digests.
+Stages cope with nulls, empty tables and repeated rows as their operators do (see their docstrings).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vastlin.llm import bpe
+from vastlin.llm import bpe, decontaminate, jaccard, language, templates
 from vastlin.llm.queries import table, tokenizer_path
+from vastlin.llm.shared import checkpointed
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: a null text, or one without a letter."""
+    model = language.train(docs.where(~language.held_out()))
+    names = docs.columns
+    kept = language.predict(docs.withColumnsRenamed({c: f"_{c}" for c in ("lang_pred", "score") if c in names}), model)
+    kept = kept.where(F.col("lang_pred") != language.UNDETERMINED).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({f"_{c}": c for c in ("lang_pred", "score") if c in names}).select(*names)
+
+
+def _resized(docs: DataFrame, names: list[str]) -> DataFrame:
+    return (docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else docs).select(*names)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts lines of recurring templates, but for their first document; a document that is left with nothing goes."""
+    cut = templates.dedup_lines(docs)
+    return _resized(cut.where((F.col("n_dropped") == 0) | (F.trim("text") != "")), docs.columns)
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each component of near copies the document of smallest id; documents without an id stay."""
+    gone = jaccard.join(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts the spans of benchmark windows from the texts."""
+    return _resized(decontaminate.remove(docs, table(spark, sf_dir, "benchmark")), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes and decodes; the digests of both, per document."""
     return bpe.digest(docs, tokenizer_path())
 
 
-STAGES = [("BPE encoding and decoding", encode)]
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", join_near_copies),
+    ("benchmark decontamination", decontaminate_benchmark),
+    ("BPE encoding and decoding", encode),
+]
+
+#: Language ID, line templates and tokens can't be expressed in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each but the last is written to the checkpoint folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
