@@ -187,11 +187,16 @@ def fit(x: np.ndarray, first: np.ndarray, length: np.ndarray, quality: np.ndarra
     return Model(mean, scale, parameters[:-4], parameters[-4:].reshape(2, 2), _adam(np.zeros(evidence.shape[1]), slope, 1500, 0.05))
 
 
-def train(labelled: DataFrame, text: str = "text", quality: str = "quality", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Fits on a bounded sample of rows with a label; None if there is none. Null texts count as empty."""
-    rows = labelled.where(F.col(quality).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("_t"), F.col(quality).cast("int").alias("_q"), F.xxhash64(F.col(key)).alias("_h"))
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", quality: str = "quality", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model | None:
+    """Fits on a bounded sample of rows with a label; None if there is none. Null texts count as empty.
+
+    The sample is drawn from the labels alone, so no text is shuffled: at most ``sample_docs`` keys are broadcast.
+    """
+    chosen = labels.where(F.col(quality).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(quality).cast("int").alias("_q")).orderBy(F.xxhash64(key), "_q").limit(sample_docs)
+    rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_k")
     rows = rows.where(F.length("_t") - F.length(F.translate("_t", "\n", "")) < SAMPLE_LINES)
-    rows = rows.orderBy("_h", "_q").limit(sample_docs)
+    # rows may share a key
+    rows = rows.orderBy(F.xxhash64("_k"), F.xxhash64("_t"), "_q").limit(sample_docs)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         x, first, length = line_features(text_of(batch, "_t"))
@@ -235,6 +240,5 @@ def held_out(column: str = "doc_id"):
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract query: learns from the labelled rows that aren't held out, scores all."""
-    known = labels.where(~held_out() & F.col("quality").isNotNull()).select("doc_id", "quality")
-    model = train(docs.select("doc_id", "text").join(known, "doc_id"))
+    model = train(docs, labels.where(~held_out()))
     return score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
