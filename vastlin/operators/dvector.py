@@ -34,6 +34,8 @@ class DistVector:
     @classmethod
     def zeros(cls, spark: SparkSession, per_block: int, size: int, last: float = 0.0) -> DistVector:
         """Zeros, but for the last component."""
+        if per_block <= 0 or size <= 0:
+            raise ValueError("sizes must be positive")
         n = num_blocks(per_block, size)
         tail = size - (n - 1) * per_block
         values = F.when(F.col("id") < n - 1, F.array_repeat(F.lit(0.0), per_block)).otherwise(F.concat(F.array_repeat(F.lit(0.0), tail - 1), F.array(F.lit(float(last)))))
