@@ -1,12 +1,12 @@
 """Line dedup with a log-template tree of fixed depth.
 
 A line of at least ``MIN_TOKENS`` tokens goes down the tree by its number of tokens and its ``LEADING`` first tokens (any token
-with a digit counts as a variable field). Within a leaf, a line joins the most similar template if at least ``SIMILARITY`` of
+with a digit counts as a variable field; at least half of a line's and of a template's tokens are constant). Within a leaf, a line joins the most similar template if at least ``SIMILARITY`` of
 its tokens agree, and positions where they differ become variable; else it begins a template. A template that recurs in
 ``MIN_TEXTS`` different texts is boilerplate: its lines are dropped everywhere but in the first document that has it.
 
-Equal texts count once, so copies of a document don't turn its lines into boilerplate. Distinct lines are counted before
-anything is shuffled by leaf, a leaf that too few texts reach is left out, and each remaining leaf is read as a sorted
+Equal texts count once, so copies of a document don't turn its lines into boilerplate. A first pass counts lines by hash, and
+leaves that too few texts reach are left out before any line's text is shuffled; each remaining leaf is read as a sorted
 stream. Only dropped lines, and one row per text, meet the documents again.
 """
 
@@ -39,29 +39,41 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
-def lines_of(docs: DataFrame, text: str, min_tokens: int, leading: int) -> DataFrame:
-    """(text_hash, leaf, line, sample): every long enough line of every row once, by the hash of its masked tokens."""
+#: Slots of the fixed-size map of busy leaves that a second pass looks at; a slot that several leaves share only costs work.
+SLOTS = 1 << 22
+
+
+def lines_of(docs: DataFrame, text: str, min_tokens: int, leading: int, busy=None) -> DataFrame:
+    """(_text_hash, leaf, line) of every long enough line, once per row, by the hash of its masked tokens.
+
+    With a broadcast map of busy leaves: (leaf, line, sample), the masked lines of those leaves, once per chunk.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, text):
-                of, leaf, key, kept = [], [], [], []
+                of, leaves, keys, kept, seen = [], [], [], [], set()
                 for h, t in zip(batch.column(0).to_pylist(), text_of(batch, text).to_pylist(), strict=True):
-                    seen = set()
+                    if busy is None:
+                        seen = set()
                     for line in (t or "").split("\n"):
                         tokens = masked(line)
-                        if len(tokens) >= min_tokens:
-                            joined = " ".join(tokens)
-                            k = _hash(joined)
-                            if k not in seen:
-                                seen.add(k)
-                                of.append(h)
-                                leaf.append(_hash(f"{len(tokens)} " + " ".join(tokens[:leading])))
-                                key.append(k)
-                                kept.append(joined)
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(leaf, pa.int64()), pa.array(key, pa.int64()), pa.array(kept, pa.string())], ["text_hash", "leaf", "line", "sample"])
-
-    return docs.select("text_hash", text).mapInArrow(run, "text_hash long, leaf long, line long, sample string")
+                        if len(tokens) >= min_tokens and 2 * tokens.count(VARIABLE) <= len(tokens):
+                            leaf = _hash(f"{len(tokens)} " + " ".join(tokens[:leading]))
+                            if busy is None or busy.value[leaf % SLOTS]:
+                                joined = " ".join(tokens)
+                                k = _hash(joined)
+                                if k not in seen:
+                                    seen.add(k)
+                                    of.append(h)
+                                    leaves.append(leaf)
+                                    keys.append(k)
+                                    kept.append(joined)
+                first = pa.array(of, pa.int64()) if busy is None else None
+                rest = [pa.array(leaves, pa.int64()), pa.array(keys, pa.int64())]
+                yield pa.RecordBatch.from_arrays([first, *rest], ["_text_hash", "leaf", "line"]) if busy is None else pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.string())], ["leaf", "line", "sample"])
+
+    return docs.select("_text_hash", text).mapInArrow(run, "_text_hash long, leaf long, line long" if busy is None else "leaf long, line long, sample string")
 
 
 def grow(rows: Iterator[tuple[int, int, str]], similarity: float) -> Iterator[tuple[int, int]]:
@@ -75,7 +87,7 @@ def grow(rows: Iterator[tuple[int, int, str]], similarity: float) -> Iterator[tu
         for name, template in templates:
             same = sum(a == b or b == VARIABLE for a, b in zip(tokens, template, strict=True))
             fixed = sum(a == b and b != VARIABLE for a, b in zip(tokens, template, strict=True))
-            if same >= most and fixed and (best is None or same > most):
+            if same >= most and 2 * fixed >= len(tokens) and (best is None or same > most):
                 best, most = (name, template), same
         if best is None:
             templates.append((line, tokens))
@@ -90,13 +102,15 @@ def grow(rows: Iterator[tuple[int, int, str]], similarity: float) -> Iterator[tu
 
 def recurring(docs: DataFrame, text: str, key: str, min_tokens: int, leading: int, similarity: float, min_texts: int) -> DataFrame:
     """(line, first_key, first_hash) of the lines of recurring templates, and the first document of each."""
-    one = docs.where(F.col(text).isNotNull()).groupBy("text_hash").agg(F.min(key).alias("_first"))
-    found = lines_of(docs, text, min_tokens, leading).select("text_hash", "leaf", "line", "sample")
+    one = docs.where(F.col(text).isNotNull()).groupBy("_text_hash").agg(F.min(key).alias("_first"))
     # equal texts fall together here, before lines are counted
-    met = checkpointed(found.groupBy("text_hash", "line").agg(F.first("leaf").alias("leaf"), F.first("sample").alias("sample")).join(one, "text_hash"))
-    lines = met.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("sample").alias("sample"))
-    busy = lines.groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_texts).select("leaf")
-    lines = lines.join(busy, "leaf").select("leaf", "line", "sample")
+    met = checkpointed(lines_of(docs, text, min_tokens, leading).distinct())
+    counts = met.groupBy("leaf", "line").agg(F.count("*").alias("n"))
+    busy = counts.groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_texts).select("leaf")
+    slots = np.zeros(SLOTS, bool)
+    slots[busy.select(F.pmod("leaf", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()] = True
+    sent = docs.sparkSession.sparkContext.broadcast(slots)
+    lines = lines_of(docs, text, min_tokens, leading, sent).groupBy("leaf", "line").agg(F.min("sample").alias("sample")).join(busy, "leaf")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -108,13 +122,13 @@ def recurring(docs: DataFrame, text: str, key: str, min_tokens: int, leading: in
                 out = []
         yield _pairs(out)
 
-    tree = lines.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(run, "line long, template long")
-    placed = met.select("text_hash", "line", "_first").join(tree, "line")
+    tree = checkpointed(lines.select("leaf", "line", "sample").repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(run, "line long, template long"))
+    placed = met.select("_text_hash", "line").join(tree, "line").join(one, "_text_hash")
     # texts of a template: distinct ones, since a text may have several of its lines
-    texts = placed.groupBy("template", "text_hash").agg(F.min("_first").alias("_first"))
-    counted = texts.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("_first", "text_hash")).alias("f")).where(F.col("n") >= min_texts)
-    drop = counted.select("template", F.col("f._first").alias("keep_key"), F.col("f.text_hash").alias("keep_hash"))
-    return placed.join(drop, "template").select("text_hash", "line", "keep_key", "keep_hash")
+    texts = placed.groupBy("template", "_text_hash").agg(F.min("_first").alias("_first"))
+    counted = texts.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("_first", "_text_hash")).alias("f")).where(F.col("n") >= min_texts)
+    drop = counted.select("template", F.col("f._first").alias("keep_key"), F.col("f._text_hash").alias("keep_hash"))
+    return placed.join(drop, "template").select("_text_hash", "line", "keep_key", "keep_hash")
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -130,11 +144,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_to
     has one line. Rows with equal key and text get equal results, so repeated rows stay repeated. Columns named
     as the two counts are replaced.
     """
-    marked = docs.withColumn("text_hash", F.xxhash64(F.col(text))) if "text_hash" not in docs.columns else docs.withColumnRenamed("text_hash", "_own_hash").withColumn("text_hash", F.xxhash64(F.col(text)))
+    marked = docs.withColumn("_text_hash", F.xxhash64(F.col(text)))
     drop = recurring(marked, text, key, min_tokens, leading, similarity, min_texts)
-    of_text = drop.groupBy("text_hash").agg(F.collect_list(F.struct("line", "keep_key", "keep_hash")).alias("_drop"))
-    met = marked.join(of_text, "text_hash", "left")
-    mine = F.filter("_drop", lambda d: ~(d["keep_key"].eqNullSafe(F.col(key)) & (d["keep_hash"] == F.col("text_hash"))))
+    of_text = drop.groupBy("_text_hash").agg(F.collect_list(F.struct("line", "keep_key", "keep_hash")).alias("_drop"))
+    met = marked.join(of_text, "_text_hash", "left")
+    mine = F.filter("_drop", lambda d: ~(d["keep_key"].eqNullSafe(F.col(key)) & (d["keep_hash"] == F.col("_text_hash"))))
     met = met.withColumn("_lines", F.transform(F.coalesce(mine, F.array()), lambda d: d["line"])).drop("_drop")
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -153,7 +167,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_to
     fields = [T.StructField(text, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     done = add_columns(met.withColumnRenamed(text, "_text"), "_text", make, fields)
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return done.withColumnRenamed("_own_hash", "text_hash").select(*own, "n_lines", "n_dropped") if "text_hash" in docs.columns else done.select(*own, "n_lines", "n_dropped")
+    return done.select(*own, "n_lines", "n_dropped")
 
 
 def clean(docs: DataFrame) -> DataFrame:
