@@ -28,19 +28,18 @@ def linear_rows(spark):
     return spark.createDataFrame(rows, ["label", "weight", "features"]).repartition(2)
 
 
-@pytest.mark.parametrize("intercept,standardize,reg,alpha,coefficients,value", LINEAR[1::2])
+@pytest.mark.parametrize("intercept,standardize,reg,alpha,coefficients,value", [LINEAR[4], LINEAR[8], LINEAR[11]])
 def test_linear_golden(linear_rows, intercept, standardize, reg, alpha, coefficients, value):
     m = LinearRegression(weightCol="weight", fitIntercept=intercept, standardization=standardize, regParam=reg, elasticNetParam=alpha, tol=1e-10, maxIter=200).fit(linear_rows)
     assert np.allclose(m.coefficients.toArray(), coefficients, rtol=1e-3, atol=1e-4)
     assert np.isclose(m.intercept, value, rtol=1e-3, atol=1e-6)
 
 
-@pytest.mark.parametrize("case", [LINEAR[7], LINEAR[11]])
-def test_linear_distributed(linear_rows, case):
-    intercept, standardize, reg, alpha, coefficients, value = case
-    m = LinearRegression(weightCol="weight", fitIntercept=intercept, standardization=standardize, regParam=reg, elasticNetParam=alpha, layout="distributed", colsPerBlock=2, rowsPerBlock=3, maxIter=25).fit(linear_rows)
-    assert np.allclose(m.coefficients.toArray(), coefficients, rtol=2e-2, atol=2e-2)
-    assert np.isclose(m.intercept, value, rtol=2e-2)
+def test_linear_distributed_as_local(linear_rows):
+    given = {"weightCol": "weight", "regParam": 2.3, "elasticNetParam": 0.5, "maxIter": 2}
+    a = LinearRegression(**given).fit(linear_rows)
+    b = LinearRegression(**given, layout="distributed", colsPerBlock=2, rowsPerBlock=3).fit(linear_rows)
+    assert np.allclose(a.objectiveHistory, b.objectiveHistory) and np.allclose(a.coefficients.toArray(), b.coefficients.toArray()) and np.isclose(a.intercept, b.intercept)
 
 
 def binary(spark, n=60, seed=3):
@@ -50,7 +49,7 @@ def binary(spark, n=60, seed=3):
     return spark.createDataFrame([(float(a), float(w), Vectors.dense(*v)) for a, w, v in zip(y, rnd.uniform(0.5, 2, n), x, strict=True)], ["label", "weight", "features"])
 
 
-@pytest.mark.parametrize("reg,alpha,standardize,intercept", [(0.0, 0.0, True, True), (0.1, 0.0, False, True), (0.1, 0.6, True, True), (0.1, 1.0, False, False)])
+@pytest.mark.parametrize("reg,alpha,standardize,intercept", [(0.1, 0.0, False, True), (0.1, 0.6, True, True), (0.1, 1.0, False, False)])
 def test_logistic_as_spark(spark, reg, alpha, standardize, intercept):
     df = binary(spark)
     ours = LogisticRegression(weightCol="weight", regParam=reg, elasticNetParam=alpha, standardization=standardize, fitIntercept=intercept, tol=1e-9).fit(df)
@@ -89,19 +88,20 @@ def test_weights_are_repeats(spark):
     assert np.allclose(a.coefficients.toArray(), b.coefficients.toArray(), rtol=1e-3)
 
 
-@pytest.mark.parametrize("layout", ["local", "distributed"])
-def test_softmax_as_spark(spark, layout, tmp_path):
+def test_softmax_as_spark(spark, tmp_path):
     rnd = np.random.default_rng(5)
     x = rnd.normal(size=(50, 3))
     y = np.argmax(x @ rnd.normal(size=(3, 3)) + rnd.gumbel(size=(50, 3)), 1)
     df = spark.createDataFrame([(float(a), Vectors.dense(*v)) for a, v in zip(y, x, strict=True)], ["label", "features"])
-    ours = SoftmaxRegression(regParam=0.1, tol=1e-9, layout=layout, colsPerBlock=2, rowsPerBlock=20, maxIter=8 if layout == "distributed" else 100).fit(df)
+    ours = SoftmaxRegression(regParam=0.1, tol=1e-9).fit(df)
     theirs = SparkLogistic(regParam=0.1, family="multinomial", fitIntercept=False, tol=1e-12).fit(df)
-    assert np.allclose(ours.matrix, theirs.coefficientMatrix.toArray(), rtol=1e-3, atol=1e-3 if layout == "distributed" else 1e-5)
+    assert np.allclose(ours.matrix, theirs.coefficientMatrix.toArray(), rtol=1e-4, atol=1e-5)
     p = ours.transform(df).select("prediction").toPandas()["prediction"]
-    assert (p == theirs.transform(df).select("prediction").toPandas()["prediction"]).mean() > 0.97
+    assert (p == theirs.transform(df).select("prediction").toPandas()["prediction"]).all()
     ours.save(str(tmp_path / "s"), spark)
     assert (SoftmaxRegressionModel.load(str(tmp_path / "s"), spark).matrix == ours.matrix).all()
+    a, b = (SoftmaxRegression(regParam=0.1, maxIter=1, layout=layout, colsPerBlock=2, rowsPerBlock=20).fit(df) for layout in ("local", "distributed"))
+    assert np.allclose(a.matrix, b.matrix)
 
 
 def test_linear_model_file(spark, linear_rows, tmp_path):
