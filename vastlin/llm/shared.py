@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of plans that are no longer referenced; otherwise they stay until the driver happens to collect garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (a, b), bigint: root is the smallest node reachable.
 
@@ -26,7 +33,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = checkpointed(now)
     mark = None
-    for _ in range(max_rounds):
+    for n in range(max_rounds):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -38,4 +45,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             roots = now.select("v").distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
         mark = seen
+        del both, least, large, small_min, small
+        if n % 4 == 3:
+            release(now)
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
