@@ -145,6 +145,19 @@ def test_chains_and_alignment():
     assert all(kept & set(range(i, i + passages.WINDOW)) for i in range(300 - passages.WINDOW + 1))
 
 
+def test_alignment_counts_all_of_a_chain():
+    shared = list(range(360))
+    a, b = shared[:60] + [-1] * 15 + shared[60:], shared[:60] + [-2] * 15 + shared[60:]
+    assert passages.align(a, b, 3, 300, 3, 300) == (0, 375, 0, 375, 360)
+    assert passages.spans(passages.runs_of(a, b, 3, 300, 3, 300)) == [(0, 375, 0, 375, 360)]
+    # several wide gaps, and one that leaves too few equal words: its sides are passages of their own
+    a = shared[:60] + [-1] * 30 + shared[60:70] + [-3] * 20 + shared[70:160]
+    b = shared[:60] + [-2] * 30 + shared[60:70] + shared[70:160]
+    assert passages.align(a, b, 0, 200, 0, 180)[4] == 160
+    runs = [(0, 0, 60), (200, 60, 60), (260, 120, 9)]
+    assert passages.spans(runs) == [(0, 60, 0, 60, 60), (200, 269, 60, 129, 69)]
+
+
 def test_templates():
     rows = [(1, 10, "user <*> logged in from home today"), (1, 11, "user <*> logged in from work today"), (1, 12, "user <*> went out of the door"), (2, 13, "user <*> logged in from home today")]
     assert dict(templates.grow(iter(rows), 0.7)) == {10: 10, 11: 10, 12: 12, 13: 13}
