@@ -158,6 +158,11 @@ def test_alignment_counts_all_of_a_chain():
     assert passages.spans(runs) == [(0, 60, 0, 60, 60), (200, 269, 60, 129, 69)]
 
 
+def test_a_far_chain_hides_no_near_one():
+    x = np.concatenate((np.arange(0, 993, 5), np.arange(1100, 1393, 5)))
+    assert sorted(passages.chain(x, x)) == [(0, 998, 0, 998), (1100, 1398, 1100, 1398)]
+
+
 def test_templates():
     rows = [(1, 10, "user <*> logged in from home today"), (1, 11, "user <*> logged in from work today"), (1, 12, "user <*> went out of the door"), (2, 13, "user <*> logged in from home today")]
     assert dict(templates.grow(iter(rows), 0.7)) == {10: 10, 11: 10, 12: 12, 13: 13}
