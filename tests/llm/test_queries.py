@@ -172,3 +172,23 @@ def test_passages(spark, edges, empty):
     assert named == {0, 1, 2, 3, 11, 12}
     assert all((r.start, r.end) == (60, 130) for r in got if r.doc_id < 10)
     assert passages.passages(edges).count() == 0 and passages.passages(empty).count() == 0
+
+
+def test_passages_with_edits_and_hot_runs(spark):
+    rows, want = [], set()
+    for i in range(60):
+        words = prose(1000 + i, 60).split()
+        other = words.copy()
+        other[20], other[40] = "changed", "altered"
+        for k, w in enumerate((words, other)):
+            rows.append((2 * i + k, f"{prose(2000 + 2 * i + k, 30)} {' '.join(w)} {prose(3000 + 2 * i + k, 30)}"))
+        want.add((2 * i + 1, 2 * i))
+    hot = prose(99, 45)
+    rows += [(200 + i, f"{prose(4000 + i, 20)} {hot} {prose(5000 + i, 20)}") for i in range(8)]
+    sides = [prose(98, 28), prose(97, 28)]
+    rows += [(i, f"{prose(6000 + i, 20)} {sides[0]} {hot} {sides[1]} {prose(7000 + i, 20)}") for i in (300, 301)]
+    got = {}
+    for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault((r.doc_id, r.other_id), []).append((r.start, r.end, r.other_start, r.other_end))
+    assert {p for p in got if p[0] < 200} == want and all(got[p] == [(30, 90, 30, 90)] for p in want)
+    assert got[301, 300] == [(20, 121, 20, 121)]
