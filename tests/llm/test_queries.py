@@ -192,3 +192,14 @@ def test_passages_with_edits_and_hot_runs(spark):
         got.setdefault((r.doc_id, r.other_id), []).append((r.start, r.end, r.other_start, r.other_end))
     assert {p for p in got if p[0] < 200} == want and all(got[p] == [(30, 90, 30, 90)] for p in want)
     assert got[301, 300] == [(20, 121, 20, 121)]
+
+
+def test_passages_that_stand_twice_in_a_text(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, f"{a} {prose(10, 30)} {a} {prose(11, 80)}"), (2, f"{prose(12, 70)} {a}"), (3, f"{prose(13, 20)} {b} {prose(14, 20)} {b} {b}"), (4, "x " * 3000)]
+    got = {(r.doc_id, r.start, r.end): r for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = {(r.doc_id, r.other_id) for r in got.values()}
+    assert pairs == {(1, 1), (2, 1), (3, 3)} and all(r.start > r.other_start for r in got.values() if r.doc_id == r.other_id)
+    assert got[1, 90, 150].other_start == 0
+    covered = lambda i: {w for r in got.values() for d, s, e in ((r.doc_id, r.start, r.end), (r.other_id, r.other_start, r.other_end)) if d == i for w in range(s, e)}
+    assert covered(1) == {*range(60), *range(90, 150)} and covered(2) == set(range(70, 130)) and {*range(20, 80), *range(100, 220)} <= covered(3) <= set(range(20, 220))
