@@ -203,3 +203,13 @@ def test_passages_that_stand_twice_in_a_text(spark):
     assert got[1, 90, 150].other_start == 0
     covered = lambda i: {w for r in got.values() for d, s, e in ((r.doc_id, r.start, r.end), (r.other_id, r.other_start, r.other_end)) if d == i for w in range(s, e)}
     assert covered(1) == {*range(60), *range(90, 150)} and covered(2) == set(range(70, 130)) and {*range(20, 80), *range(100, 220)} <= covered(3) <= set(range(20, 220))
+
+
+def test_short_and_digit_heavy_lines(spark):
+    short, digits, han = "All rights reserved.", "12 34 56 78 90 tel", "版权所有不得转载"
+    rows = [(i, f"{plain(i, 20)}\n{short}\n\n{digits}\n{han}\n{i} {i + 1} {i + 2} 4 5 6\npage {i}\n{plain(i + 100, 8)}") for i in range(8)]
+    rows += [(20 + i, f"{plain(20 + i, 20)}\nseldom seen") for i in range(4)]
+    got = {r.doc_id: r for r in templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1] and [got[i].n_dropped for i in range(1, 8)] == [3] * 7
+    assert all(got[i].text == rows[i][1].replace(f"{short}\n", "").replace(f"{digits}\n", "").replace(f"{han}\n", "") for i in range(1, 8))
+    assert all(got[20 + i].n_dropped == 0 for i in range(4))

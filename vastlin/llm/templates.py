@@ -1,7 +1,9 @@
 """Line dedup with a log-template tree of fixed depth.
 
 A line of at least ``MIN_TOKENS`` tokens goes down the tree by its number of tokens and its ``LEADING`` first tokens (any token
-with a digit counts as a variable field; at least half of a line's and of a template's tokens are constant). Within a leaf, a line joins the most similar template if at least ``SIMILARITY`` of
+with a digit counts as a variable field; at least half of a line's and of a template's tokens are constant). A shorter line, or one
+of mostly variable fields, is too little to generalise from: it is a template of its own, by its literal tokens. Blank lines are none.
+Within a leaf, a line joins the most similar template if at least ``SIMILARITY`` of
 its tokens agree, and positions where they differ become variable; else it begins a template. A template that recurs in
 ``MIN_TEXTS`` different texts is boilerplate: its lines are dropped everywhere but in the first document that has it.
 
@@ -27,26 +29,37 @@ from vastlin.llm.text import add_columns, chunks, text_of
 
 MIN_TOKENS, LEADING, SIMILARITY, MIN_TEXTS = 5, 3, 0.7, 5
 VARIABLE = "<*>"
-_DIGIT = re.compile(r"\S*[0-9]\S*")
+_DIGIT = re.compile("[0-9]")
 
 
 def masked(line: str) -> list[str]:
     """The tokens of a line, those with a digit as variables."""
-    return _DIGIT.sub(VARIABLE, line).split()
+    tokens = line.split()
+    return [VARIABLE if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
 
 
 def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
+def general(tokens: list[str], min_tokens: int) -> bool:
+    """Whether a line of these masked tokens may be generalised; another one is matched literally."""
+    return len(tokens) >= min_tokens and 2 * tokens.count(VARIABLE) <= len(tokens)
+
+
+def literal(line: str) -> int:
+    """The name of a line that is matched literally, which is also its leaf; no masked line has a line feed."""
+    return _hash("\n" + " ".join(line.split()))
+
+
 #: Slots of the fixed-size map of busy leaves that a second pass looks at; a slot that several leaves share only costs work.
 SLOTS = 1 << 22
 
 
 def lines_of(docs: DataFrame, text: str, min_tokens: int, leading: int, busy=None) -> DataFrame:
-    """(_text_hash, leaf, line) of every long enough line, once per row, by the hash of its masked tokens.
+    """(_text_hash, leaf, line) of every line but blank ones, once per row, by the hash of its masked tokens or, with leaf = line, its literal ones.
 
-    With a broadcast map of busy leaves: (leaf, line, sample), the masked lines of those leaves, once per chunk.
+    With a broadcast map of busy leaves: (leaf, line, sample), the masked lines of those leaves, once per chunk, without literal ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +71,7 @@ def lines_of(docs: DataFrame, text: str, min_tokens: int, leading: int, busy=Non
                         seen = set()
                     for line in (t or "").split("\n"):
                         tokens = masked(line)
-                        if len(tokens) >= min_tokens and 2 * tokens.count(VARIABLE) <= len(tokens):
+                        if general(tokens, min_tokens):
                             leaf = _hash(f"{len(tokens)} " + " ".join(tokens[:leading]))
                             if busy is None or busy.value[leaf % SLOTS]:
                                 joined = " ".join(tokens)
@@ -69,6 +82,13 @@ def lines_of(docs: DataFrame, text: str, min_tokens: int, leading: int, busy=Non
                                     leaves.append(leaf)
                                     keys.append(k)
                                     kept.append(joined)
+                        elif tokens and busy is None:
+                            k = literal(line)
+                            if k not in seen:
+                                seen.add(k)
+                                of.append(h)
+                                leaves.append(k)
+                                keys.append(k)
                 first = pa.array(of, pa.int64()) if busy is None else None
                 rest = [pa.array(leaves, pa.int64()), pa.array(keys, pa.int64())]
                 yield pa.RecordBatch.from_arrays([first, *rest], ["_text_hash", "leaf", "line"]) if busy is None else pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.string())], ["leaf", "line", "sample"])
@@ -106,7 +126,7 @@ def recurring(docs: DataFrame, text: str, key: str, min_tokens: int, leading: in
     # equal texts fall together here, before lines are counted
     met = checkpointed(lines_of(docs, text, min_tokens, leading).distinct())
     counts = met.groupBy("leaf", "line").agg(F.count("*").alias("n"))
-    busy = counts.groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_texts).select("leaf")
+    busy = counts.where("leaf <> line").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_texts).select("leaf")
     slots = np.zeros(SLOTS, bool)
     slots[busy.select(F.pmod("leaf", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()] = True
     sent = docs.sparkSession.sparkContext.broadcast(slots)
@@ -122,7 +142,8 @@ def recurring(docs: DataFrame, text: str, key: str, min_tokens: int, leading: in
                 out = []
         yield _pairs(out)
 
-    tree = checkpointed(lines.select("leaf", "line", "sample").repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(run, "line long, template long"))
+    alone = counts.where((F.col("leaf") == F.col("line")) & (F.col("n") >= min_texts)).select("line", F.col("line").alias("template"))
+    tree = checkpointed(lines.select("leaf", "line", "sample").repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(run, "line long, template long").unionByName(alone))
     placed = met.select("_text_hash", "line").join(tree, "line").join(one, "_text_hash")
     # texts of a template: distinct ones, since a text may have several of its lines
     texts = placed.groupBy("template", "_text_hash").agg(F.min("_first").alias("_first"))
@@ -158,7 +179,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_to
             kept = lines
             if gone:
                 gone = set(gone)
-                kept = [x for x in lines if len(tokens := masked(x)) < min_tokens or _hash(" ".join(tokens)) not in gone]
+                name = lambda x: _hash(" ".join(tokens)) if general(tokens := masked(x), min_tokens) else literal(x) if tokens else None
+                kept = [x for x in lines if name(x) not in gone]
             out.append(t if len(kept) == len(lines) else "\n".join(kept))
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(kept))
