@@ -79,16 +79,53 @@ def test_suffix_array():
     assert decontaminate.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
-def test_regions_lose_no_link():
+def near_sets(rnd, n):
+    a = np.unique(rnd.integers(0, 1 << 62, n).astype(np.uint64))
+    cut = rnd.integers(0, n // 4 + 1)
+    return a, np.unique(np.concatenate((a[cut // 2 :], rnd.integers(0, 1 << 62, cut - cut // 2).astype(np.uint64))))
+
+
+def test_prefixes_lose_no_link():
     rnd = np.random.default_rng(0)
-    for n in (65, 80, 81, 109, 110, 150, 400, 2000):
-        for _ in range(20):
-            a = np.unique(rnd.integers(0, 1 << 62, n).astype(np.uint64))
-            cut = rnd.integers(0, n // 5 + 1)
-            b = np.unique(np.concatenate((a[cut // 2 :], rnd.integers(0, 1 << 62, cut - cut // 2).astype(np.uint64))))
-            both = len(np.intersect1d(a, b))
-            if 100 * both >= 80 * len(np.union1d(a, b)) and min(len(a), len(b)) > jaccard.SMALL:
-                assert set(jaccard.regions_of(a).tolist()) & set(jaccard.regions_of(b).tolist())
+    for n in (1, 2, 5, 9, 10, 11, 65, 110, 400, 2000):
+        for _ in range(40):
+            a, b = near_sets(rnd, n)
+            if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+                both = len(np.intersect1d(a[: jaccard.prefix(len(a), 80)], b[: jaccard.prefix(len(b), 80)]))
+                assert both >= max(jaccard.need(len(a), 80), jaccard.need(len(b), 80))
+
+
+def test_cells_hold_every_near_pair():
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(size=(300, 3))
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    cells = [set(c.tolist()) for c in jaccard.cells_of(d[:, :9], 0.3)]
+    assert all(any(i in c and j in c for c in cells) for i, j in zip(*np.nonzero(d <= 0.3), strict=True))
+    assert max(map(len, cells)) < 300
+
+
+def test_region_join_by_brute_force():
+    rnd = np.random.default_rng(2)
+    for trial in range(6):
+        sets = []
+        for _ in range(25):
+            base = np.unique(rnd.integers(0, 400 if trial % 2 else 1 << 40, int(rnd.integers(1, 120))).astype(np.int64))
+            for _ in range(int(rnd.integers(1, 8))):
+                keep = rnd.random(len(base)) > 0.1
+                keep[0] = True
+                sets.append(base[keep])
+        n = len(sets)
+        linked = [(i, j) for i in range(n) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+        given = [i // 7 * 7 for i in range(n)]  # what is one component already needs no link
+        for roots in (list(range(n)), given):
+            for cell in (2, 24):
+                got = jaccard.join_region(roots, sets, 80, cell, 4)
+                assert {tuple(sorted(x)) for x in got} <= {tuple(sorted(x)) for x in linked}
+                want, have = jaccard._Forest(n), jaccard._Forest(n)
+                for forest, links in ((want, linked), (have, got)):
+                    for i, j in [*links, *enumerate(roots)]:
+                        forest.union(i, j)
+                assert [want.find(i) for i in range(n)] == [have.find(i) for i in range(n)]
 
 
 def test_marginals_by_enumeration():

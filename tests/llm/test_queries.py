@@ -121,6 +121,8 @@ def test_jaccard(spark, edges, empty):
                 root[b] = a
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()}
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
+    small = jaccard.join(docs.withColumn("node", F.lit("mine")).withColumn("n", F.lit(0)), region=150, pivots=2).collect()  # regions are split across tasks, again and again
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in small} == got
     assert jaccard.join(edges).count() == len(EDGES)
     assert jaccard.join(empty).count() == 0
 
