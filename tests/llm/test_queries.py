@@ -66,6 +66,7 @@ def test_decontaminate(spark, edges, empty):
     assert all((blocks[i].n_hit, blocks[i]["items"], blocks[i].hit_spans) == (got[i].n_hit, got[i]["items"], got[i].hit_spans) for i in got)
     left = {r.doc_id: r.text for r in decontaminate.remove(docs, items).collect()}
     assert left[1] == "start  end" and left[3] == prose(2, 30) and left[4] is None
+    assert {r.doc_id: r.text for r in decontaminate.remove(docs, items, block_bytes=20).collect()} == left
     assert decontaminate.digest(edges, items).count() == len(EDGES)
     assert decontaminate.digest(empty, items).count() == 0
     assert {r.n_hit for r in decontaminate.digest(docs, items.where("false")).collect()} == {0}
@@ -215,3 +216,40 @@ def test_short_and_digit_heavy_lines(spark):
     assert got[0].text == rows[0][1] and [got[i].n_dropped for i in range(1, 8)] == [3] * 7
     assert all(got[i].text == rows[i][1].replace(f"{short}\n", "").replace(f"{digits}\n", "").replace(f"{han}\n", "") for i in range(1, 8))
     assert all(got[20 + i].n_dropped == 0 for i in range(4))
+
+
+#: Names that operators use inside, and those of their results.
+NAMES = ["_text", "_key", "_row", "_left", "_lines", "_drop", "_text_hash", "_candidates", "_id", "node", "n", "items", "n_words", "n_hit", "hit_spans", "cut_spans", "line", "leaf", "region", "root", "key", "row_key", "w", "held_out", "base_spans_", "bucket", "block"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [*EDGES, (9, f"{prose(1, 30)}\n1.2.3.4 a@b.de"), (9, f"{prose(1, 30)}\n1.2.3.4 a@b.de"), (10, prose(1, 30))]
+    return spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit(f"own {c}").alias(c) for c in NAMES))
+
+
+def test_columns_with_clashing_names(spark, clashing):
+    items = spark.createDataFrame([(7, prose(1, 14))], "item_id long, text string")
+    n = clashing.count()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(11)], "doc_id long, quality int")
+    rows = [(i, ("the and of with " if i % 2 else "der die und mit ") + prose(i, 5), "en" if i % 2 else "de") for i in range(20)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    kept = [  # operators that return the rows they get
+        templates.dedup_lines(clashing),
+        decontaminate.remove(clashing, items),
+        pii.find(clashing),
+        language.predict(clashing, model),
+        bpe.encode_decode(clashing, tokenizer_path()),
+    ]
+    for out in kept:
+        got = out.collect()
+        assert len(got) == n and all(r[c] == f"own {c}" for r in got for c in NAMES)
+    for out in (jaccard.join(clashing), suffix_tree.score(clashing, clashing), decontaminate.digest(clashing, items), quality.classify(clashing, labels), bpe.digest(clashing, tokenizer_path()), pii.digest(clashing), templates.clean(clashing)):
+        assert out.count() == n
+    assert passages.passages(clashing).collect() is not None
+
+
+def test_embeddings_with_clashing_names_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (None, [0.0, 1.0])]
+    x = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", *(F.lit("own").alias(c) for c in ("vec", "code", "table", "u", "v", "a", "b", "node", "root", "n", "key")))
+    assert simhash.near_duplicates(x).count() == len(rows)

@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vastlin.llm.shared import boxed, unboxed
 from vastlin.llm.text import NON_ALNUM, Words, add_columns, text_of
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
-BLOCK_BYTES = 16 << 20
+SHARD_BYTES = 1 << 20
+#: Item text whose windows are held at once; the driver needs about 150 times as much.
+BLOCK_BYTES = 2 << 20
 SAMPLE = 8
 
 
@@ -210,8 +212,22 @@ def occurrences(words: Words, phrases: Phrases, rows: np.ndarray) -> tuple[np.nd
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def _block(docs: DataFrame, phrases: Phrases, text: str) -> DataFrame:
-    """``docs`` with n_words, the merged hit spans in words (``_hit``) and in bytes (``_cut``), and the items."""
+def _without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """The text without these spans of UTF-8 bytes, which may overlap."""
+    if not spans:
+        return text
+    raw, at, parts = text.encode(), 0, []
+    for start, end in sorted(spans):
+        parts.append(raw[at : max(at, start)])
+        at = max(at, end)
+    return b"".join([*parts, raw[at:]]).decode()
+
+
+def _block(docs: DataFrame, phrases: Phrases, text: str, left: str | None = None, before: str | None = None) -> DataFrame:
+    """``docs`` with n_words, the merged hit spans in words and in bytes, and the items.
+
+    With ``left``, only the text without these spans, and those of a column ``before``, under that name.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -234,9 +250,19 @@ def _block(docs: DataFrame, phrases: Phrases, text: str) -> DataFrame:
         def spans(x: np.ndarray, y: np.ndarray) -> pa.Array:
             return pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["start", "end"]))
 
+        if left:
+            gone: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
+            for row, x, y in zip(of.tolist(), (words.starts[a] - byte).tolist(), (words.ends[b] - byte).tolist(), strict=True):
+                gone[row].append((x, y))
+            if before:
+                gone = [x + [(s["start"], s["end"]) for s in y] for x, y in zip(gone, text_of(batch, before).to_pylist(), strict=True)]
+            column = text_of(batch, text)
+            return [pa.array([_without(column[i].as_py(), x) if x else column[i].as_py() for i, x in enumerate(gone)], pa.string())]
         names = [[p.names[k] for k in sorted(s) if k >= 0] for s in items]
         return [pa.array(words.counts, pa.int64()), spans(a - base, b + 1 - base), spans(words.starts[a] - byte, words.ends[b] - byte), pa.array(names, pa.list_(pa.string()))]
 
+    if left:
+        return add_columns(docs, text, make, [T.StructField(left, T.StringType())], SHARD_BYTES)
     fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", SPANS), T.StructField("cut_spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
     return add_columns(docs, text, make, fields, SHARD_BYTES)
 
@@ -261,17 +287,18 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     """
     out = None
     for phrases in phrase_blocks(items, item_id, item_text, block_bytes):
-        if out is None:
-            out = _block(docs, phrases, text)
-        else:  # a further pass, which merges with the spans so far
-            old = ["hit_spans", "cut_spans", "items"]
-            kept = out.withColumnsRenamed({c: f"_{c}" for c in old})
-            out = _block(kept, phrases, text)
-            merged = {c: _merged(F.concat(f"_{c}", c)) for c in old[:2]} | {"items": F.array_sort(F.array_union("_items", "items"))}
-            out = out.withColumns(merged).drop(*(f"_{c}" for c in old))
+        out = _block(docs, phrases, text) if out is None else _further(out, phrases, text)
     return out.withColumn("n_hit", F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
 
 
+def _further(out: DataFrame, phrases: Phrases, text: str) -> DataFrame:
+    """A further pass, which merges with the spans so far."""
+    old = ["hit_spans", "cut_spans", "items"]
+    out = _block(out.withColumnsRenamed({c: f"_{c}" for c in old}), phrases, text)
+    merged = {c: _merged(F.concat(f"_{c}", c)) for c in old[:2]} | {"items": F.array_sort(F.array_union("_items", "items"))}
+    return out.withColumns(merged).drop(*(f"_{c}" for c in old))
+
+
 def _merged(spans):
     """Sorted union of spans."""
     kind = "array<struct<start:bigint,end:bigint>>"
@@ -284,24 +311,15 @@ def _merged(spans):
     return F.aggregate(F.array_sort(spans), F.array().cast(kind), step)
 
 
-def remove(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+def remove(docs: DataFrame, items: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns of ``docs`` with the hit spans cut out of the text; rows without hits stay byte for byte."""
-    found = scan(docs, items, text)
-
-    def cut(batch: pa.RecordBatch) -> list[pa.Array]:
-        out = []
-        for t, spans in zip(text_of(batch, text).to_pylist(), text_of(batch, "cut_spans").to_pylist(), strict=True):
-            if spans:
-                raw, at, parts = t.encode(), 0, []
-                for s in spans:
-                    parts.append(raw[at : s["start"]])
-                    at = s["end"]
-                t = b"".join([*parts, raw[at:]]).decode()
-            out.append(t)
-        return [pa.array(out, pa.string())]
-
-    hit = add_columns(found.withColumnRenamed(text, "_text"), "_text", lambda b: cut(b.rename_columns([text if c == "_text" else c for c in b.schema.names])), [T.StructField(text, T.StringType())])
-    return hit.select(*docs.columns)
+    found, last, before = boxed(docs, _text=F.col(text)), None, None
+    for phrases in phrase_blocks(items, "item_id", "text", block_bytes):
+        if last is not None:  # spans of all blocks but the last go along
+            found = _block(found, last, "_text") if before is None else _further(found, last, "_text")
+            found, before = found.select("_row", "_text", "hit_spans", "cut_spans", "items"), "cut_spans"
+        last = phrases
+    return unboxed(_block(found, last, "_text", "_left", before), docs.columns, **{text: F.col("_left")})
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:

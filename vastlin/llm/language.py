@@ -20,8 +20,10 @@ from pyspark.sql import types as T
 from vastlin.llm.text import add_columns, chunks, remainder, text_of
 
 BITS = 15
-#: The matrix is broadcast, so its rows are bounded: more languages than this are an error.
-MAX_LANGUAGES = 256
+#: Entries of the matrix, four bytes each, which is broadcast: with more languages than fit, n-grams are hashed to fewer bits.
+ENTRIES = 1 << 23
+#: Characters whose n-grams are held at once.
+WINDOW = 1 << 17
 UNDETERMINED = "und"
 
 _letters: np.ndarray | None = None
@@ -35,30 +37,49 @@ def letters() -> np.ndarray:
     return _letters
 
 
-def grams(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of every n-gram of the texts, in order, the first bucket of each text, and whether it has a letter."""
-    lowered = [(t or "").lower() for t in texts]
-    joined = "\0\0" + "\0\0".join(lowered) + "\0\0"
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = letters()[code]
-    code = np.where(letter, code, 32).astype(np.uint32)
-    one, two, three = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
-    a, b, c = code[2:], code[1:-1], code[:-2]
-    ids, at = [], []
-    where = np.arange(2, len(code))
-    for h, keep in ((a * one, letter[2:]), (a * one + b * two + np.uint32(1), letter[2:]), (a * one + b * two + c * three + np.uint32(2), letter[1:-1])):
-        h = h ^ (h >> np.uint32(15))
-        h = h * np.uint32(0x2C1B3C6D)
-        h = (h ^ (h >> np.uint32(12))) >> np.uint32(0) & np.uint32((1 << bits) - 1)
-        ids.append(h[keep])
-        at.append(where[keep])
-    lengths = np.fromiter(map(len, lowered), np.int64, len(lowered))
-    begins = 2 + np.concatenate(([0], np.cumsum(lengths + 2)))
-    order = np.argsort(np.concatenate(at), kind="stable")
-    ids = np.concatenate(ids)[order]
-    first = np.searchsorted(np.concatenate(at)[order], begins[:-1])
-    seen = np.concatenate(([0], np.cumsum(letter)))
-    return ids, np.append(first, len(ids)), seen[begins[:-1] + lengths] > seen[begins[:-1]]
+def grams(texts: list[str | None], bits: int = BITS, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket and row of every n-gram, whether each row has a letter), for one window of about ``window`` characters after another.
+
+    A long text is cut into windows that see the two characters before them, so its n-grams are those of the whole.
+    """
+    parts: list[str] = []
+    rows: list[int] = []
+    held = 0
+
+    def flush() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = letters()[code]
+        code = np.where(letter, code, np.uint32(32))
+        row = np.repeat(np.array(rows, np.int64), size)
+        own = np.ones(len(code), bool)  # the two characters ahead of each part are none of its own
+        begin = np.cumsum(size) - size
+        own[begin] = own[begin + 1] = False
+        one, two, three = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
+        a, b, c = code[2:], code[1:-1], code[:-2]
+        ids, at = [], []
+        for h, keep in ((a * one, letter[2:]), (a * one + b * two + np.uint32(1), letter[2:]), (a * one + b * two + c * three + np.uint32(2), letter[1:-1])):
+            keep = keep & own[2:]
+            h = h[keep]
+            h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            ids.append((h ^ (h >> np.uint32(12))) & np.uint32((1 << bits) - 1))
+            at.append(row[2:][keep])
+        parts.clear()
+        rows.clear()
+        return np.concatenate(ids), np.concatenate(at), np.bincount(row[letter & own], minlength=len(texts)) > 0
+
+    for k, t in enumerate(texts):
+        lowered = (t or "").lower()
+        for i in range(0, len(lowered) or 1, window):
+            last = i + window >= len(lowered)
+            parts.append(("\0\0" + lowered[:window] if i == 0 else lowered[i - 2 : i + window]) + "\0" * last)
+            rows.append(k)
+            held += len(parts[-1])
+            if held >= window:
+                yield flush()
+                held = 0
+    if parts:
+        yield flush()
 
 
 @dataclass(frozen=True)
@@ -77,25 +98,24 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = B
         found: dict[str, np.ndarray] = {}
         for whole in batches:
             for batch in chunks(whole, text):
-                ids, first, _ = grams(text_of(batch, text).to_pylist(), bits)
-                names = text_of(batch, lang).to_pylist()
-                of = np.unique(names, return_inverse=True)
-                rows = np.repeat(of[1], np.diff(first))
-                total = np.bincount(rows * (1 << bits) + ids, minlength=len(of[0]) << bits).reshape(len(of[0]), -1)
+                of = np.unique(text_of(batch, lang).to_pylist(), return_inverse=True)
+                total = np.zeros(len(of[0]) << bits, np.int64)
+                for ids, rows, _ in grams(text_of(batch, text).to_pylist(), bits):
+                    total += np.bincount(of[1][rows] << bits | ids, minlength=len(total))
                 docs_of = np.bincount(of[1], minlength=len(of[0]))
                 for i, name in enumerate(of[0].tolist()):
                     mine = found.setdefault(name, np.zeros((1 << bits) + 1, np.int64))
-                    mine[:-1] += total[i]
+                    mine[:-1] += total[i << bits : (i + 1) << bits]
                     mine[-1] += docs_of[i]
         for name, n in found.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    rows = docs.select(text, lang).where(F.col(lang).isNotNull()).mapInArrow(count, schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = rows.limit(MAX_LANGUAGES * ((1 << bits) + 1) + 1).toArrow()
-    names = sorted(set(rows.column("lang").to_pylist()))
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    known = docs.where(F.col(lang).isNotNull())
+    names = sorted(r[0] for r in known.select(F.col(lang).cast("string")).distinct().collect())
+    while bits > 1 and len(names) << bits > ENTRIES:  # a hash of fewer bits is these bits of a longer one
+        bits -= 1
+    rows = known.select(text, F.col(lang).cast("string").alias(lang)).mapInArrow(count, schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     number = {x: i for i, x in enumerate(names)}
     counts = np.zeros((len(names), (1 << bits) + 1))
     counts[[number[x] for x in rows.column("lang").to_pylist()], rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
@@ -115,14 +135,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         m = sent.value
         n = batch.num_rows
-        ids, first, lettered = grams(text_of(batch, text).to_pylist(), m.bits)
+        total = np.repeat(m.prior[:, None], n, 1)
+        lettered = np.zeros(n, bool)
+        for ids, rows, some in grams(text_of(batch, text).to_pylist(), m.bits):
+            lettered |= some
+            for k, w in enumerate(m.weights):
+                total[k] += np.bincount(rows, w[ids], minlength=n)
         if not m.languages:
             return [pa.array([UNDETERMINED] * n, pa.string()), pa.array(np.zeros(n))]
-        total = np.repeat(m.prior[:, None], n, 1)
-        some = np.flatnonzero(np.diff(first))
-        for k, w in enumerate(m.weights):
-            if len(some):
-                total[k, some] += np.add.reduceat(w[ids], first[:-1][some], dtype=np.float64)
         best = total.argmax(0)
         score = 1 / np.exp(total - total.max(0)).sum(0)
         names = np.array(m.languages, object)[best]

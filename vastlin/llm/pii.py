@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vastlin.llm.shared import boxed, unboxed
+
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.9
 VOTES = ("strict", "gazetteer", "context", "shape")
@@ -188,12 +190,12 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         return 1 / (1 + F.exp(-total))
 
     keep = lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind"))
-    own = [c for c in docs.columns if c not in ("base_spans", "spans", "_candidates")]
-    out = with_candidates(docs.select(*own), text)
+    own = [c for c in docs.columns if c not in ("base_spans", "spans")]
+    out = with_candidates(boxed(docs, _text=F.col(text)), "_text")
     out = out.withColumn("base_spans", F.array_sort(F.transform(F.filter("_candidates", lambda c: c["base"]), keep)))
     extra = F.filter("_candidates", lambda c: ~c["base"] & (probability(c) >= ACCEPT) & (F.element_at(c["votes"], 3) >= 0))
     apart = F.filter(extra, lambda c: ~F.exists("base_spans", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-    return out.withColumn("spans", F.array_sort(F.concat("base_spans", F.transform(apart, keep)))).drop("_candidates")
+    return unboxed(out, own, base_spans=F.col("base_spans"), spans=F.array_sort(F.concat("base_spans", F.transform(apart, keep))))
 
 
 def _listed(spans: str) -> Column:

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vastlin.llm import bpe, decontaminate, jaccard, language, passages, pii, quality, simhash, suffix_tree, templates
+from vastlin.llm.shared import small_batches
 
 #: A public tokenizer file, found through its package so that every executor resolves its own copy.
 WORD_BPE = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

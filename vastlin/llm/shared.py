@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of ``docs`` as one column ``_row``, beside the columns given: no name of ``docs`` clashes with another."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(x.alias(name) for name, x in columns.items()))
+
+
+def unboxed(df: DataFrame, names: list[str], **columns: Column) -> DataFrame:
+    """The columns ``names`` of ``boxed`` rows, with those given in place of theirs or behind them."""
+    own = [columns.get(c, F.col("_row").getField(c)).alias(c) for c in names]
+    return df.select(*own, *(x.alias(c) for c, x in columns.items() if c not in names))
+
+
+#: Bytes of an Arrow batch; Spark's default of 64 MB is held several times over by each task, in the JVM and in Python.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of an Arrow batch to ``BATCH_BYTES``, if it is higher. A longer text still is a batch of its own."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(limit, None)
+    if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(limit, BATCH_BYTES)
+
+
 def release(df: DataFrame) -> None:
     """Lets Spark delete the shuffle files of plans that are no longer referenced; otherwise they stay until the driver happens to collect garbage."""
     gc.collect()

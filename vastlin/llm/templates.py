@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vastlin.llm.shared import checkpointed
+from vastlin.llm.shared import boxed, checkpointed, unboxed
 from vastlin.llm.text import add_columns, chunks, text_of
 
 MIN_TOKENS, LEADING, SIMILARITY, MIN_TEXTS = 5, 3, 0.7, 5
@@ -165,12 +165,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_to
     has one line. Rows with equal key and text get equal results, so repeated rows stay repeated. Columns named
     as the two counts are replaced.
     """
-    marked = docs.withColumn("_text_hash", F.xxhash64(F.col(text)))
-    drop = recurring(marked, text, key, min_tokens, leading, similarity, min_texts)
+    marked = boxed(docs, _text=F.col(text), _key=F.col(key), _text_hash=F.xxhash64(F.col(text)))
+    drop = recurring(marked, "_text", "_key", min_tokens, leading, similarity, min_texts)
     of_text = drop.groupBy("_text_hash").agg(F.collect_list(F.struct("line", "keep_key", "keep_hash")).alias("_drop"))
     met = marked.join(of_text, "_text_hash", "left")
-    mine = F.filter("_drop", lambda d: ~(d["keep_key"].eqNullSafe(F.col(key)) & (d["keep_hash"] == F.col("_text_hash"))))
-    met = met.withColumn("_lines", F.transform(F.coalesce(mine, F.array()), lambda d: d["line"])).drop("_drop")
+    mine = F.filter("_drop", lambda d: ~(d["keep_key"].eqNullSafe(F.col("_key")) & (d["keep_hash"] == F.col("_text_hash"))))
+    met = met.select("_row", "_text", F.transform(F.coalesce(mine, F.array()), lambda d: d["line"]).alias("_lines"))
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         out, n_lines, n_dropped = [], [], []
@@ -186,10 +186,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_to
             n_dropped.append(len(lines) - len(kept))
         return [pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
 
-    fields = [T.StructField(text, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-    done = add_columns(met.withColumnRenamed(text, "_text"), "_text", make, fields)
+    fields = [T.StructField("_left", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
+    done = add_columns(met, "_text", make, fields)
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return done.select(*own, "n_lines", "n_dropped")
+    return unboxed(done, own, **{text: F.col("_left"), "n_lines": F.col("n_lines"), "n_dropped": F.col("n_dropped")})
 
 
 def clean(docs: DataFrame) -> DataFrame:

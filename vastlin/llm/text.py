@@ -6,13 +6,23 @@ word. Nulls count as empty texts here; operators that tell them apart look at th
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: UTF-8 bytes handled at once; a longer text is handled alone and whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system, as a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -162,6 +172,7 @@ def add_columns(df, text: str, make, fields: list, limit: int = CHUNK_BYTES):
         for whole in batches:
             for batch in chunks(whole, text, limit):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], [*keep, *names])
+        tidy()
 
     return df.select(*keep).mapInArrow(run, schema)
 
