@@ -11,16 +11,24 @@ from pyspark.sql import functions as F
 
 from vastlin.llm import bpe, decontaminate, jaccard, language, templates
 from vastlin.llm.queries import table, tokenizer_path
-from vastlin.llm.shared import checkpointed
+from vastlin.llm.shared import boxed, checkpointed, small_batches, unboxed
+
+
+#: A language is taken only if it is likelier than all others together.
+LEAST_POSTERIOR = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: a null text, or one without a letter."""
+    """Drops documents that the classifier gives no language: without a letter (a null text too), or with a posterior below ``LEAST_POSTERIOR``.
+
+    Where no language can be learned, as all labels are null, documents stay.
+    """
+    small_batches(spark)
     model = language.train(docs.where(~language.held_out()))
-    names = docs.columns
-    kept = language.predict(docs.withColumnsRenamed({c: f"_{c}" for c in ("lang_pred", "score") if c in names}), model)
-    kept = kept.where(F.col("lang_pred") != language.UNDETERMINED).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({f"_{c}": c for c in ("lang_pred", "score") if c in names}).select(*names)
+    if not model.languages:
+        return docs
+    found = language.predict(boxed(docs, _text=F.col("text")), model, "_text")
+    return unboxed(found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_POSTERIOR)), docs.columns)
 
 
 def _resized(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -29,23 +37,40 @@ def _resized(docs: DataFrame, names: list[str]) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines of recurring templates, but for their first document; a document that is left with nothing goes."""
-    cut = templates.dedup_lines(docs)
-    return _resized(cut.where((F.col("n_dropped") == 0) | (F.trim("text") != "")), docs.columns)
+    small_batches(spark)
+    names = docs.columns
+    cut = templates.dedup_lines(boxed(docs, text=F.col("text"), doc_id=F.col("doc_id")))
+    cut = cut.where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    return _resized(unboxed(cut, names, text=F.col("text")), names)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near copies the document of smallest id; documents without an id stay."""
-    gone = jaccard.join(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one document of each component of near copies: of smallest id, and of rows that share it the one of smallest text hash.
+
+    Rows without an id stay. Rows that share an id are told apart by their texts, so one of them goes only with its own component;
+    of rows that share both one stays.
+    """
+    small_batches(spark)
+    rows = boxed(docs, doc_id=F.col("doc_id"), text=F.col("text"))
+    identity = F.struct("doc_id", F.xxhash64("text").alias("hash"))
+    found = checkpointed(jaccard.join(rows.select(identity.alias("_id"), "text"), key="_id").where("_id.doc_id is not null"))
+    gone = found.where("component_id <> _id").select("_id").distinct()
+    again = found.groupBy("_id").agg(F.count("*").alias("rows")).where("rows > 1").select("_id")
+    left = rows.withColumn("_id", identity).join(gone, "_id", "left_anti")
+    if not again.isEmpty():
+        left = left.join(again, "_id", "left_anti").unionByName(left.join(again, "_id", "left_semi").dropDuplicates(["_id"]))
+    return unboxed(left, docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the spans of benchmark windows from the texts."""
+    small_batches(spark)
     return _resized(decontaminate.remove(docs, table(spark, sf_dir, "benchmark")), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes; the digests of both, per document."""
+    small_batches(spark)
     return bpe.digest(docs, tokenizer_path())
 
 
