@@ -253,3 +253,47 @@ def test_embeddings_with_clashing_names_and_repeated_ids(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (None, [0.0, 1.0])]
     x = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", *(F.lit("own").alias(c) for c in ("vec", "code", "table", "u", "v", "a", "b", "node", "root", "n", "key")))
     assert simhash.near_duplicates(x).count() == len(rows)
+
+
+def test_suffix_tree_score_by_brute_force(spark, monkeypatch):
+    depth, end, pad = suffix_tree.DEPTH, "\n", " " * suffix_tree.DEPTH
+    rows = [(i, f"{prose(i, 15)} the cat sat {'on the mat ' * (i % 4)}") for i in range(40)] + [(40, ""), (41, "Zebra ~ [Quiz]")]
+    learned = spark.createDataFrame(rows[:30], "doc_id long, text string")
+    spelled = lambda t: "".join(w + " " for w in t.lower().split()) + end
+    counts: dict[str, dict[str, int]] = {}
+    for _, t in rows[:30]:
+        s = pad + spelled(t)
+        for i in range(depth, len(s)):
+            for d in range(depth + 1):
+                of = counts.setdefault(s[i - d : i], {})
+                of[s[i]] = of.get(s[i], 0) + 1
+
+    def gain(c):
+        up, total = counts[c[1:]], sum(counts[c].values())
+        return sum(n * np.log(n / total * sum(up.values()) / up[x]) - 0.5 * np.log(total) for x, n in counts[c].items())
+
+    kept = {""}
+    for c in counts:
+        if c and gain(c) > 0:
+            kept |= {c[i:] for i in range(len(c))}
+
+    def probability(c, x):
+        of = counts[c]
+        prior, strength = (probability(c[1:], x), len(of)) if c else (1 / 256, 1 + len(of))
+        return (of.get(x, 0) + strength * prior) / (sum(of.values()) + strength)
+
+    want = {}
+    for i, t in rows:
+        s, total = pad + spelled(t), 0.0
+        for k in range(depth, len(s)):
+            c = ""
+            while len(c) < depth and s[k - len(c) - 1 : k] in kept:
+                c = s[k - len(c) - 1 : k]
+            total += np.log10(probability(c, s[k]))
+        want[i] = total
+    got = {r.doc_id: r.score for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string"), learned).collect()}
+    assert all(np.isclose(got[i], want[i], rtol=1e-4, atol=1e-4) for i in want) and len(kept) > 100
+    # a small budget keeps the most divergent nodes
+    monkeypatch.setattr(suffix_tree, "MODEL_BYTES", 8 * 40 * 60)
+    cut = {r.doc_id: r.score for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string"), learned).collect()}
+    assert sum(cut.values()) < sum(got.values()) and len(cut) == len(rows)
