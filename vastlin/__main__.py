@@ -27,12 +27,26 @@ def main(args: list[str] | None = None) -> int:
     r.add_argument("--dimension", type=int, default=100)
     r.add_argument("--iterations", type=int, default=100)
     r.add_argument("--corrections", type=int, default=4)
+    r.add_argument("--block", type=int, default=10, help="components of a block")
+    r.add_argument("--distributed", action="store_true")
+    c = sub.add_parser("compare", help="fit a model to libsvm text with coefficients on the driver and distributed, and show both")
+    c.add_argument("kind", choices=("logistic", "linear", "softmax"))
+    c.add_argument("path")
+    for name, kind, value in (("features", int, None), ("max-iter", int, 20), ("reg", float, 0.5), ("elastic-net", float, 0.0), ("cols-per-block", int, 100), ("rows-per-block", int, 1000), ("row-partitions", int, 3), ("col-partitions", int, 3)):
+        c.add_argument(f"--{name}", type=kind, default=value)
     a = top.parse_args(args)
     if a.command == "rosenbrock":
         from vastlin.operators.dvector import LocalVector
         from vastlin.plans.lbfgs import LBFGS, rosenbrock
 
-        for s in LBFGS(a.iterations, a.corrections).iterations(rosenbrock, LocalVector(np.random.default_rng(42).uniform(-10, 10, a.dimension))):
+        start = LocalVector(np.random.default_rng(42).uniform(-10, 10, a.dimension))
+        if a.distributed:
+            from pyspark.sql import SparkSession
+
+            from vastlin.operators.dvector import DistVector
+
+            start = DistVector.of(SparkSession.builder.appName("vastlin").getOrCreate(), start.values, a.block)
+        for s in LBFGS(a.iterations, a.corrections).iterations(rosenbrock, start):
             print(s.iteration, s.value)
         return 0
     from pyspark.sql import SparkSession
@@ -43,6 +57,13 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "generate":
         sources.write_text(sources.generate(spark, a.dimension, a.splits, a.records, a.features, a.seed), a.path)
         return 0
+    if a.command == "compare":
+        kind = {"logistic": models.LogisticRegression, "linear": models.LinearRegression, "softmax": models.SoftmaxRegression}[a.kind]
+        rows = sources.read_libsvm(spark, a.path, a.features)
+        params = {"max_iter": a.max_iter, "reg_param": a.reg, "elastic_net_param": a.elastic_net, "cols_per_block": a.cols_per_block, "rows_per_block": a.rows_per_block, "row_partitions": a.row_partitions, "col_partitions": a.col_partitions}
+        for layout in ("local", "distributed"):
+            print(layout, kind(**params, layout=layout).fit(rows).objectiveHistory)
+        return 0
     kind = {"logistic": models.LogisticRegression, "linear": models.LinearRegression, "softmax": models.SoftmaxRegression, "baseline": models.LocalLogisticRegression}[a.kind]
     params = {"max_iter": a.max_iter, "reg_param": a.reg, "elastic_net_param": a.elastic_net, "num_corrections": a.corrections, "cols_per_block": a.cols_per_block, "rows_per_block": a.rows_per_block, "row_partitions": a.row_partitions, "col_partitions": a.col_partitions, "fit_intercept": not a.no_intercept, "standardization": not a.no_standardization}
     model = kind(**params | ({} if a.kind == "baseline" else {"layout": a.layout})).fit(sources.read_libsvm(spark, a.path, a.features))

@@ -68,6 +68,11 @@ def label_histogram(instances: DataFrame) -> DataFrame:
     return instances.where((F.col("label") >= 0) & (F.col("label") == F.floor("label"))).groupBy("label").agg(F.sum("weight").alias("weight_sum"), F.count("*").alias("n"))
 
 
+def invalid_labels(instances: DataFrame) -> int:
+    """Rows whose label is negative, fractional or not a number."""
+    return instances.where(~((F.col("label") >= 0) & (F.col("label") == F.floor("label"))) | F.isnan("label")).count()
+
+
 def label_moments(instances: DataFrame) -> tuple[float, float]:
     """Weighted mean and standard deviation of the label."""
     total = totals(instances)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vastlin.functions import summary
 from vastlin.operators.blocks import BlockMatrix, GridPartitioner, pack_rows
 from vastlin.operators.dvector import DistVector, LocalVector
-from vastlin.operators.instances import entries, instances, num_blocks, vector_entries, vector_size, with_row_index
+from vastlin.operators.instances import entries, instances, num_blocks, vector_entries, vector_size, with_any_row_index, with_row_index
 from vastlin.operators.storage import persisted
 from vastlin.plans.lbfgs import LBFGS, OWLQN, State
 from vastlin.plans.objectives import Grid, Rows
@@ -156,8 +156,8 @@ def _fit_local(kind, data, p, classes, intercept_init, label_scale, with_interce
 
 def _fit_grid(kind, data, p, classes, intercept_init, label_scale, with_intercept, width, l1, l2) -> Fitted:
     spark = data.rows.sparkSession
-    keys = p.rowKeys or [F.xxhash64(F.col("label"), F.col("weight"), F.unwrap_udt("features"))]
-    indexed = with_row_index(data.rows.where("weight > 0"), *keys)
+    kept = data.rows.where("weight > 0")
+    indexed = with_row_index(kept, *p.rowKeys) if p.rowKeys else with_any_row_index(kept)
     n = int(data.total["count"])
     cols = min(p.colsPerBlock, width)
     per_row = min(p.rowsPerBlock, n)
@@ -170,14 +170,16 @@ def _fit_grid(kind, data, p, classes, intercept_init, label_scale, with_intercep
         cells = cells.unionByName(indexed.select("row_id", F.lit(width - 1).cast("long").alias("idx"), F.lit(1.0).alias("value")))
     grid = GridPartitioner.requested(num_blocks(per_row, n), num_blocks(cols, width), p.rowPartitions, p.colPartitions)
     matrix = BlockMatrix.of(cells, n, width, per_row, cols).dealt(grid)
-    matrix = BlockMatrix(persisted(matrix.df), per_row, cols, n, width)
+    matrix = matrix.persist()
     labels = persisted(pack_rows(indexed.withColumn("label", F.col("label") / label_scale), per_row))
     size, per_block = width * classes, cols * classes
 
     def spread(value) -> DistVector:
         """A value per feature, from std, repeated for each class; 0 for the intercept and features without spread."""
         rows = std.where("std > 0").select("idx", value.alias("value"))
-        rows = rows.select((F.col("idx") * classes + F.explode(F.sequence(F.lit(0), F.lit(classes - 1)))).alias("idx"), "value") if classes > 1 else rows
+        if classes > 1:
+            each = rows.select("idx", "value", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))).alias("k"))
+            rows = each.select((F.col("idx") * classes + F.col("k")).alias("idx"), "value")
         return DistVector.from_long(rows, per_block, size).materialize()
 
     weight = spread(F.lit(1.0) if p.standardization else 1 / (F.col("std") * F.col("std")))
@@ -193,6 +195,9 @@ def _fit_grid(kind, data, p, classes, intercept_init, label_scale, with_intercep
     last = scaled.where(F.col("idx") == size - 1).select("value").first() if with_intercept else None
     objective.close()
     std.unpersist()
+    for v in (weight, penalty, start, state.x, state.gradient, state.adjusted_gradient):
+        if v is not None:
+            v.release()
     return Fitted(coefficients.reshape(data.features, classes), float(last[0]) * label_scale if last else 0.0, history, state)
 
 

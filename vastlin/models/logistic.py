@@ -67,8 +67,7 @@ class LogisticRegression(base.Params):
 
     def _fit(self, data: base.Data, initial: LogisticRegressionModel | None) -> LogisticRegressionModel:
         found = {r["label"]: r["weight_sum"] for r in summary.label_histogram(data.rows).collect()}
-        invalid = data.rows.where((F.col("label") < 0) | (F.col("label") != F.floor("label"))).count()
-        if invalid or max(found) > 1:
+        if summary.invalid_labels(data.rows) or max(found) > 1:
             raise ValueError("labels must be 0 and 1")
         zero, one = found.get(0.0, 0.0), found.get(1.0, 0.0)
         params = dict(self.params)
@@ -113,6 +112,15 @@ class LogisticRegressionModel:
             out = out.withColumn(p["predictionCol"], (score > self.threshold()).cast("double"))
         return out.drop("_margin")
 
+    def raw_threshold(self) -> float:
+        """The margin above which the prediction is 1: the logit of the threshold."""
+        t = self.threshold()
+        return -math.inf if t <= 0 else math.inf if t >= 1 else math.log(t / (1 - t))
+
+    def raw_to_prediction(self, raw) -> float:
+        """From a raw prediction (-margin, margin)."""
+        return float(raw[1] > self.raw_threshold())
+
     def predict(self, features) -> float:
         m = float(features.dot(self.coefficients)) + self.intercept
         return float((1 / (1 + math.exp(-m)) if m > -700 else 0.0) > self.threshold())

@@ -1,22 +1,27 @@
 """2-D blocks of a sparse matrix, and their products with distributed vectors.
 
-A block is (rb, cb, num_rows, num_cols, r, c, v): parallel arrays of in-block positions, sorted by row and column. Products
-join blocks with the vector's pieces on the block number, multiply in numpy and add up per target block, so only
-the small pieces move while blocks stay where they are cached.
+A block is (rb, cb, num_rows, num_cols, r, c, v): parallel arrays of in-block positions, sorted by row and column. Blocks that
+a grid partitioner has dealt stay where they are cached: each part is sent the vector's pieces that it needs, multiplies
+in numpy and adds up per target block, and only these sums move. Other blocks are joined with the pieces on the block number.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vastlin.operators.instances import num_blocks
+from vastlin.operators.storage import persisted
+
+
+#: Target blocks that a task adds up before it sends them on.
+TARGETS = 64
 
 
 @dataclass(frozen=True)
@@ -59,6 +64,7 @@ class BlockMatrix:
     cols_per_block: int
     rows: int
     cols: int
+    grid: GridPartitioner | None = None
 
     @classmethod
     def of(cls, entries: DataFrame, rows: int, cols: int, rows_per_block: int, cols_per_block: int, compress: bool = False) -> BlockMatrix:
@@ -72,8 +78,12 @@ class BlockMatrix:
         return cls(df.select("rb", "cb", height.alias("num_rows"), width.alias("num_cols"), F.col("e.r").alias("r"), F.col("e.c").alias("c"), value.alias("v")), rows_per_block, cols_per_block, rows, cols)
 
     def dealt(self, grid: GridPartitioner) -> BlockMatrix:
-        """Placed by a grid partitioner."""
-        return BlockMatrix(self.df.repartition(grid.partitions, grid.column()), self.rows_per_block, self.cols_per_block, self.rows, self.cols)
+        """Placed by a grid partitioner, with its number in ``part``."""
+        placed = self.df.drop("part").withColumn("part", grid.column()).repartition(grid.partitions, "part")
+        return replace(self, df=placed, grid=grid)
+
+    def persist(self) -> BlockMatrix:
+        return replace(self, df=persisted(self.df))
 
     def zip_columns(self, pieces: DataFrame) -> DataFrame:
         """Blocks with the vector piece (pid, values) of their columns."""
@@ -84,11 +94,54 @@ class BlockMatrix:
 
     def times(self, pieces: DataFrame, classes: int = 1) -> DataFrame:
         """(pid, values) of matrix x vector by row block; a vector with ``classes`` values per column gives as many per row."""
+        if self.grid:
+            first = (F.floor(F.col("pid") / self.grid.cols_per_part) * self.grid.row_partitions).cast("int")
+            parts = F.sequence(first, first + self.grid.row_partitions - 1)
+            return _added(self._met(pieces, parts, "rb", "cb", "r", "c", "num_rows", classes))
         return _product(self.zip_columns(pieces), "rb", "r", "c", "num_rows", classes)
 
     def transposed_times(self, pieces: DataFrame, classes: int = 1) -> DataFrame:
+        if self.grid:
+            first, step = F.floor(F.col("pid") / self.grid.rows_per_part).cast("int"), self.grid.row_partitions
+            parts = F.sequence(first, first + (self.grid.partitions // step - 1) * step, F.lit(step))
+            return _added(self._met(pieces, parts, "cb", "rb", "c", "r", "num_cols", classes))
         return _product(self.zip_rows(pieces), "cb", "c", "r", "num_cols", classes)
 
+    def _met(self, pieces: DataFrame, parts: Column, target: str, source: str, out: str, into: str, size: str, classes: int) -> DataFrame:
+        """(pid, values): per part, the sums for each target block. Each piece is sent to the parts listed; blocks don't move."""
+
+        def run(blocks: pa.Table, sent: pa.Table) -> pa.Table:
+            found = {pid: x.values.to_numpy().reshape(-1, classes) for pid, x in zip(sent.column("pid").to_pylist(), sent.column("values"), strict=True)}
+            total: dict[int, np.ndarray] = {}
+            for to, by, o, i, v, n in zip(*(blocks.column(c) for c in (target, source, out, into, "v", size)), strict=True):
+                if (x := found.get(by.as_py())) is not None:
+                    o, i, v = (a.values.to_numpy(zero_copy_only=False) for a in (o, i, v))
+                    part = np.stack([np.bincount(o, v * x[i, k], minlength=n.as_py()) for k in range(classes)], 1).ravel()
+                    to = to.as_py()
+                    total[to] = total[to] + part if to in total else part
+            return pa.table({"pid": pa.array(list(total), pa.int32()), "values": pa.array(list(total.values()), pa.list_(pa.float64()))})
+
+        sent = pieces.select(F.explode(parts).alias("part"), F.col("pid").cast("int").alias("pid"), "values")
+        return self.df.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(run, "pid int, values array<double>")
+
+    def scaled_columns(self, pieces: DataFrame, f: Callable[[Column, Column], Column]) -> BlockMatrix:
+        """The matrix of f(value, the vector's component of its column); columns without a piece go."""
+        return self._scaled(self.zip_columns(pieces), "c", f)
+
+    def scaled_rows(self, pieces: DataFrame, f: Callable[[Column, Column], Column]) -> BlockMatrix:
+        return self._scaled(self.zip_rows(pieces), "r", f)
+
+    def _scaled(self, met: DataFrame, at: str, f: Callable[[Column, Column], Column]) -> BlockMatrix:
+        value = F.zip_with("v", at, lambda v, i: f(v, F.element_at("values", i + 1)))
+        return replace(self, df=met.select("rb", "cb", "num_rows", "num_cols", "r", "c", value.alias("v")), grid=None)
+
+    def each_row(self) -> DataFrame:
+        """(row_id, indices, values) of every row, empty ones too."""
+        cell = F.sort_array(F.collect_list(F.struct("idx", "value")))
+        found = self.entries().groupBy("row_id").agg(cell.alias("e"))
+        every = self.df.sparkSession.range(self.rows).select(F.col("id").alias("row_id")).join(found, "row_id", "left")
+        return every.select("row_id", F.coalesce(F.col("e.idx"), F.array().cast("array<bigint>")).alias("indices"), F.coalesce(F.col("e.value"), F.array().cast("array<double>")).alias("values"))
+
     def entries(self) -> DataFrame:
         """(row_id, idx, value) of the stored entries."""
         return self.df.select("rb", "cb", F.explode(F.arrays_zip("r", "c", "v")).alias("e")).select(
@@ -105,20 +158,34 @@ class BlockMatrix:
 
 def _product(joined: DataFrame, target: str, out: str, into: str, size: str, classes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+
+        def flush() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.float64()))], ["pid", "values"])
+            total.clear()
+            return done
+
         for b in batches:
-            values = []
-            for o, i, v, n, x in zip(*(b.column(k) for k in range(1, 6)), strict=True):
+            for to, o, i, v, n, x in zip(*b.columns, strict=True):
                 o, i, v, x = (a.values.to_numpy(zero_copy_only=False) for a in (o, i, v, x))
-                n = n.as_py()
+                n, to = n.as_py(), to.as_py()
                 x = x.reshape(-1, classes)
-                values.append(np.stack([np.bincount(o, v * x[i, k], minlength=n) for k in range(classes)], 1).ravel())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.list_(pa.float64()))], ["pid", "values"])
+                part = np.stack([np.bincount(o, v * x[i, k], minlength=n) for k in range(classes)], 1).ravel()
+                total[to] = total[to] + part if to in total else part
+                if len(total) > TARGETS:
+                    yield flush()
+        yield flush()
+
+    return _added(joined.select(target, out, into, "v", size, "values").mapInArrow(run, "pid int, values array<double>"))
+
+
+def _added(partial: DataFrame) -> DataFrame:
+    """The sums of (pid, values) per pid."""
 
     def add(table: pa.Table) -> pa.Table:
         total = np.sum([x.values.to_numpy() for x in table.column("values")], axis=0)
         return pa.table({"pid": pa.array([table.column("pid")[0].as_py()], pa.int32()), "values": pa.array([total], pa.list_(pa.float64()))})
 
-    partial = joined.select(target, out, into, "v", size, "values").mapInArrow(run, "pid int, values array<double>")
     return partial.groupBy("pid").applyInArrow(add, "pid int, values array<double>")
 
 
@@ -134,6 +201,19 @@ def pack_rows(instances: DataFrame, rows_per_block: int) -> DataFrame:
     return packed.select("rb", F.col("e.label").alias("labels"), F.col("e.weight").alias("weights"))
 
 
+def stack_rows(vectors: list):
+    """Vectors as the rows of one sparse matrix on the driver, by rows if there are fewer rows than columns, else by columns."""
+    from pyspark.ml.linalg import SparseMatrix
+
+    cells = [(i, int(j), float(v)) for i, x in enumerate(vectors) for j, v in (zip(x.indices, x.values, strict=True) if hasattr(x, "indices") else enumerate(x.toArray())) if v]
+    rows, cols = len(vectors), vectors[0].size
+    by_rows = rows < cols
+    cells.sort(key=lambda c: (c[0], c[1]) if by_rows else (c[1], c[0]))
+    major = [c[0] if by_rows else c[1] for c in cells]
+    starts = np.searchsorted(major, np.arange((rows if by_rows else cols) + 1)).tolist()
+    return SparseMatrix(rows, cols, starts, [c[1] if by_rows else c[0] for c in cells], [c[2] for c in cells], by_rows)
+
+
 def to_matrix(vector, num_rows: int):
     """A flat sparse vector as a column-major sparse matrix: index = row + column * num_rows; repeats add up, zeros go."""
     from pyspark.ml.linalg import SparseMatrix

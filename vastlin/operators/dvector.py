@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vastlin.functions import scalar
 from vastlin.operators.instances import num_blocks
-from vastlin.operators.storage import checkpointed, is_persisted, persisted
+from vastlin.operators.storage import is_persisted, persisted, removed, written
 
 
 @dataclass(frozen=True)
@@ -22,6 +22,7 @@ class DistVector:
     df: DataFrame
     per_block: int
     size: int
+    path: str | None = None  # of the table that holds it, if it was materialised
 
     def __post_init__(self) -> None:
         if self.per_block <= 0 or self.size <= 0:
@@ -135,7 +136,14 @@ class DistVector:
 
     # storage
     def materialize(self) -> DistVector:
-        return self._with(checkpointed(self.df))
+        """Written to the checkpoint folder, until ``release``."""
+        df, path = written(self.df)
+        return DistVector(df, self.per_block, self.size, path)
+
+    def release(self) -> None:
+        """Deletes what ``materialize`` wrote; the vector can't be read any more."""
+        if self.path:
+            removed(self.df.sparkSession, self.path)
 
     def persist(self, eager: bool = True) -> DistVector:
         return self._with(persisted(self.df, eager))
@@ -218,5 +226,8 @@ class LocalVector:
     def materialize(self) -> LocalVector:
         return self
 
+    def release(self) -> None:
+        pass
+
     def to_numpy(self) -> np.ndarray:
         return self.values

@@ -63,5 +63,23 @@ def with_row_index(df: DataFrame, *keys: str, name: str = "row_id") -> DataFrame
     return ranked.join(F.broadcast(starts), "_part").withColumn(name, F.coalesce("_start", F.lit(0)) + F.col("_in") - 1).drop("_part", "_in", "_start")
 
 
+def with_any_row_index(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """Consecutive indices from 0 in the order of partitions, without a shuffle: a partition's start and the place in it.
+
+    The rows are written first, as their partitions must stay what they are between counting and numbering.
+    """
+    from pyspark.sql import Window
+
+    from vastlin.operators.storage import checkpointed
+
+    low = 1 << 33  # monotonically_increasing_id: the partition above this, the place in it below
+    at = checkpointed(df.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.floor(F.col("_at") / low)
+    sizes = at.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    placed = at.withColumn("_part", part).join(F.broadcast(starts), "_part")  # a row per partition
+    return placed.withColumn(name, F.col("_start") + F.pmod("_at", F.lit(low))).drop("_part", "_at", "_start")
+
+
 def num_blocks(per_block: int, n: int) -> int:
     return (n - 1) // per_block + 1

@@ -7,6 +7,7 @@ entries of the table in one batch, makes the direction with one combination, and
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
@@ -59,11 +60,20 @@ class History:
         values = type(s).dots(pairs)
         fresh = {(id(a), id(b)): v for (a, b), v in zip(pairs, values, strict=True)}
         if fresh[id(s), id(y)] <= 0:
+            s.release()
+            y.release()
             return
         alive = {id(v) for v in basis}
+        for v in [*self.s, *self.y]:
+            if id(v) not in alive:
+                v.release()
         self.table = {k: v for k, v in (self.table | fresh).items() if k[0] in alive and k[1] in alive}
         self.s, self.y = kept_s, kept_y
 
+    def release(self) -> None:
+        for v in [*self.s, *self.y]:
+            v.release()
+
     def _known(self) -> set[tuple[int, int]]:
         return set(self.table) | {(b, a) for a, b in self.table}
 
@@ -126,23 +136,32 @@ class LBFGS:
         return Flag.NOT_CONVERGED
 
     def iterations(self, objective: Objective, x: Any) -> Iterator[State]:
-        """States from the first point to the terminal one. After a failed search the history starts anew once."""
+        """States from the first point to the terminal one. After a failed search the history starts anew once.
+
+        Vectors are written as they are made, and deleted as soon as no later step reads them: a state that was given out is gone
+        when the next one comes. Any other failure of a step, a lost job say, ends the run with the last good state.
+        """
         value, gradient = objective(x)
         av, ag = self.adjust(x, value, gradient)
         state = State(x, value, gradient, av, ag, 0, av, (math.inf,))
         yield state
         history, fresh = History(self.m), True
         while True:
+            made: list[Any] = []  # by the search, the direction first
             try:
                 direction = self.aim(history, state).materialize()
+                made.append(direction)
                 seen: dict[float, tuple] = {}
 
-                def at(alpha: float, state: State = state, direction: Any = direction, seen: dict = seen) -> tuple:
+                def at(alpha: float, state: State = state, direction: Any = direction, seen: dict = seen, made: list = made) -> tuple:
                     if alpha not in seen:
                         seen.clear()  # one result is kept: the last, which is the one accepted as a rule
+                        self._release(made[1:])
+                        del made[1:]
                         new = self.step(state, direction, alpha).materialize()
                         v, g = objective(new)
                         seen[alpha] = (new, v, g, *self.adjust(new, v, g))
+                        made += [new, g, seen[alpha][4]]
                     return seen[alpha]
 
                 slope = state.adjusted_gradient.dot(direction)
@@ -156,21 +175,34 @@ class LBFGS:
                 new, v, g, av, ag = at(self.search(phi, state, direction))
                 if not math.isfinite(av):
                     raise SearchFailed("the value is not finite")
-            except (SearchFailed, ZeroDivisionError):
-                if fresh:
+                change = new.sub(state.x).materialize(), g.sub(state.gradient).materialize()
+            except Exception as e:
+                self._release(made)
+                searched = isinstance(e, (SearchFailed, ZeroDivisionError))
+                if not searched:
+                    logging.getLogger(__name__).error("a step failed", exc_info=True)
+                history.release()
+                if fresh or not searched:
                     yield replace(state, flag=Flag.SEARCH_FAILED)
                     return
                 history, fresh = History(self.m), True
                 continue
-            history.push(new.sub(state.x).materialize(), g.sub(state.gradient).materialize())
+            history.push(*change)
             fresh = False
+            self._release([direction, *([] if state.iteration == 0 else [state.x]), state.gradient, state.adjusted_gradient])
             state = State(new, v, g, av, ag, state.iteration + 1, state.initial_value, (*state.values, v)[-self.window :])
             flag = self._converged(state)
             if flag:
+                history.release()
                 yield replace(state, flag=flag)
                 return
             yield state
 
+    @staticmethod
+    def _release(vectors: list[Any]) -> None:
+        for v in {id(v): v for v in vectors}.values():
+            v.release()
+
     def minimize(self, objective: Objective, x: Any) -> State:
         state = None
         for state in self.iterations(objective, x):  # noqa: B007
@@ -214,9 +246,20 @@ def quadratic(center: float = 3.0) -> Objective:
 
 
 def rosenbrock(x: Any) -> tuple[float, Any]:
-    """sum over pairs (a, b) of (1 - a)^2 + 100 (b - a^2)^2, for local vectors of even size."""
-    from vastlin.operators.dvector import LocalVector
-
+    """sum over pairs (a, b) of (1 - a)^2 + 100 (b - a^2)^2, for vectors of even size; distributed ones have an even number in a block."""
+    from pyspark.sql import functions as F
+
+    from vastlin.operators.dvector import DistVector, LocalVector
+
+    if isinstance(x, DistVector):
+        if x.per_block % 2 or x.size % 2:
+            raise ValueError("pairs must not be split")
+        pair = F.transform(F.sequence(F.lit(0), F.size("values") / 2 - 1), lambda i: F.struct(F.element_at("values", (2 * i + 1).cast("int")).alias("a"), F.element_at("values", (2 * i + 2).cast("int")).alias("b")))
+        pairs = x.df.select("pid", pair.alias("p"))
+        each = lambda p: F.pow(1 - p["a"], F.lit(2.0)) + 100 * F.pow(p["b"] - p["a"] * p["a"], F.lit(2.0))
+        value = pairs.agg(F.sum(F.aggregate("p", F.lit(0.0), lambda s, p: s + each(p)))).first()[0]
+        slopes = F.transform("p", lambda p: F.array(-2 * (1 - p["a"]) - 400 * p["a"] * (p["b"] - p["a"] * p["a"]), 200 * (p["b"] - p["a"] * p["a"])))
+        return float(value), DistVector(pairs.select("pid", F.flatten(slopes).alias("values")), x.per_block, x.size).materialize()
     a, b = x.values[0::2], x.values[1::2]
     g = np.zeros(x.size)
     g[0::2], g[1::2] = -2 * (1 - a) - 400 * a * (b - a * a), 200 * (b - a * a)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vastlin.operators.blocks import BlockMatrix
 from vastlin.operators.dvector import DistVector, LocalVector
-from vastlin.operators.storage import checkpointed, persisted
+from vastlin.operators.storage import persisted, removed, written
 
 LOSSES = ("logistic", "linear", "softmax")
 
@@ -163,7 +163,7 @@ class Grid:
         margins = self.matrix.times(x.df, classes).withColumnRenamed("pid", "rb")
         # a block of rows without entries has no margins and still has losses
         met = self.labels.join(margins, "rb", "left").select("rb", "labels", "weights", "values")
-        multipliers = checkpointed(met.mapInArrow(multiply, "pid int, loss double, values array<double>"))
+        multipliers, path = written(met.mapInArrow(multiply, "pid int, loss double, values array<double>"))
         loss = (multipliers.agg(F.sum("loss")).first()[0] or 0.0) / self.total_weight
         grad = self.matrix.transposed_times(multipliers.select("pid", "values"), classes)
         weight = self.total_weight
@@ -171,6 +171,7 @@ class Grid:
         l2 = self.l2
         full = DistVector(grad, x.per_block, x.size).zip(lambda g, b, w: g + l2 * w * b, x, self.l2_weight).materialize()
         penalty = 0.5 * l2 * x.dot(x.zip(lambda a, b: a * b, self.l2_weight)) if l2 else 0.0
+        removed(x.df.sparkSession, path)
         return loss + penalty, full
 
     def close(self) -> None:
