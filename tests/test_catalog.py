@@ -9,7 +9,10 @@ from vastlin.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-CHEAP = ["instance_projection", "feature_blocks", "grid_partitions", "packed_labels", "label_moments", "feature_std", "block_margins", "logistic_objective", "softmax_objective", "vector_products", "pseudo_gradient", "scalar_functions", "logistic_transform", "minimize_quadratic_l1"]
+CHEAP = [
+    "instance_projection", "feature_blocks", "grid_partitions", "packed_labels", "label_moments", "feature_std", "block_margins", "logistic_objective", "softmax_objective", "vector_products", "pseudo_gradient", "scalar_functions", "logistic_transform", "minimize_quadratic_l1",
+    "partition_sizes", "grouped_by_sort", "aggregated_by_key", "matrix_rows", "columns_scaled", "penalties", "standardized_entries", "stacked_rows", "generated_records", "logistic_objective_distributed",
+    "linear_objective_distributed", "softmax_objective_distributed", "fit_softmax_distributed", "minimize_quadratic_distributed"]
 
 
 @pytest.mark.parametrize("name", CHEAP)

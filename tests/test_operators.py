@@ -47,6 +47,16 @@ def test_block_matrix(spark):
     for r in m.transposed_times(DistVector.of(spark, np.arange(7.0), 3).df).collect():
         back[r.pid * 2 : r.pid * 2 + len(r["values"])] = r["values"]
     assert np.allclose(back[:5], dense.T @ np.arange(7))
+    for grid in (GridPartitioner(3, 3, 2, 1), GridPartitioner(3, 3, 1, 2), GridPartitioner(3, 3, 3, 3)):
+        dealt = m.dealt(grid).persist()
+        plan = dealt.times(DistVector.of(spark, x, 2).df)
+        assert sorted((r.pid, *np.round(r["values"], 9)) for r in plan.collect()) == sorted((r.pid, *np.round(r["values"], 9)) for r in m.times(DistVector.of(spark, x, 2).df).collect())
+        rows = DistVector.of(spark, np.arange(7.0), 3).df
+        assert sorted((r.pid, *np.round(r["values"], 9)) for r in dealt.transposed_times(rows).collect()) == sorted((r.pid, *np.round(r["values"], 9)) for r in m.transposed_times(rows).collect())
+        dealt.df.unpersist()
+    assert [r.row_id for r in m.each_row().where("size(values) = 0").collect()] == [i for i in range(7) if not dense[i].any()]
+    scaled = m.scaled_rows(DistVector.of(spark, np.arange(7.0), 3).df, lambda v, x: v * x)
+    assert all(np.isclose(r.value, dense[r.row_id, r.idx] * r.row_id) for r in scaled.entries().collect())
     assert m.cell(0, 1) == dense[0, 1] and m.entries().count() == (dense != 0).sum()
 
 
@@ -96,3 +106,25 @@ def test_generator(spark, tmp_path):
 
 def test_run_all():
     assert run_all(range(5), lambda x: x * x) == [0, 1, 4, 9, 16]
+
+
+def test_indices_without_a_shuffle(spark):
+    df = spark.range(0, 100, 1, 7).where("id % 11 <> 3")
+    got = sorted(r.row_id for r in rows_of.with_any_row_index(df).collect())
+    assert got == list(range(df.count()))
+
+
+def test_collected_with_partitions(spark):
+    from vastlin.operators.storage import with_partition_ids
+
+    got = with_partition_ids(spark.range(0, 10, 1, 3))
+    assert [r.id for _, r in got] == list(range(10)) and {p for p, _ in got} == {0, 1, 2}
+
+
+def test_stacked_rows():
+    from vastlin.operators.blocks import stack_rows
+
+    wide = [Vectors.sparse(4, [1, 3], [2.0, 3.0]), Vectors.dense(1.0, 0, 0, 4)]
+    assert np.allclose(stack_rows(wide).toArray(), [v.toArray() for v in wide])
+    tall = [Vectors.dense(1.0, 0), Vectors.sparse(2, [1], [5.0]), Vectors.sparse(2, [], [])]
+    assert np.allclose(stack_rows(tall).toArray(), [v.toArray() for v in tall])

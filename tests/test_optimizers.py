@@ -58,3 +58,39 @@ def test_distributed_iteration_as_local(spark):
     a = LBFGS(2, 4).minimize(quadratic(), DistVector.of(spark, start, 3))
     b = LBFGS(2, 4).minimize(quadratic(), LocalVector(start))
     assert np.allclose(a.x.to_numpy(), b.x.values) and a.flag == b.flag
+
+
+def test_distributed_rosenbrock_as_local(spark):
+    start = np.linspace(-1.5, 1.2, 8)
+    value, gradient = rosenbrock(DistVector.of(spark, start, 6))
+    expected, slopes = rosenbrock(LocalVector(start))
+    assert np.isclose(value, expected) and np.allclose(gradient.to_numpy(), slopes.values)
+    with pytest.raises(ValueError):
+        rosenbrock(DistVector.of(spark, start, 3))
+
+
+def test_superseded_vectors_are_deleted(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from vastlin.operators.storage import _folder
+
+    tables = lambda: len(list(Path(urlparse(_folder(spark)).path).glob("table-*")))
+    before, m = tables(), 2
+    states = LBFGS(6, m).iterations(rosenbrock, DistVector.of(spark, [-1.2, 1.0, 0.5, 0.2], 2))
+    for state in states:  # the state's vectors and the history; the first point isn't written
+        assert tables() - before <= 3 + 2 * m
+    assert state.iteration == 6 and tables() - before <= 3 and state.x.to_numpy().shape == (4,)
+
+
+def test_any_failure_ends_with_the_last_state():
+    calls = []
+
+    def f(x):
+        calls.append(1)
+        if len(calls) > 4:
+            raise OSError("a job was lost")
+        return rosenbrock(x)
+
+    states = list(LBFGS(30, 4).iterations(f, LocalVector(np.array([-1.2, 1.0]))))
+    assert states[-1].flag == Flag.SEARCH_FAILED and (states[-1].x is states[-2].x)

@@ -63,6 +63,11 @@ def feature_std(entries: DataFrame, total: dict[str, float]) -> DataFrame:
     return apart.select("idx", (F.sqrt(F.greatest(F.col("squares") / bottom, F.lit(0.0))) if bottom > 0 else F.lit(0.0)).alias("std"))
 
 
+def standardized(entries: DataFrame, std: DataFrame) -> DataFrame:
+    """(row_id, idx, value): the entries divided by their feature's std, without features that have none."""
+    return entries.join(std, "idx").where("std > 0").select("row_id", "idx", (F.col("value") / F.col("std")).alias("value"))
+
+
 def label_histogram(instances: DataFrame) -> DataFrame:
     """(label, weight_sum, n) of valid labels: whole numbers from 0."""
     return instances.where((F.col("label") >= 0) & (F.col("label") == F.floor("label"))).groupBy("label").agg(F.sum("weight").alias("weight_sum"), F.count("*").alias("n"))

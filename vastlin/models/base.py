@@ -162,10 +162,10 @@ def _fit_grid(kind, data, p, classes, intercept_init, label_scale, with_intercep
     cols = min(p.colsPerBlock, width)
     per_row = min(p.rowsPerBlock, n)
     std = persisted(_std(data))
-    cells = entries(indexed).join(std, "idx").where("std > 0").select("row_id", "idx", (F.col("value") / F.col("std")).alias("value"))
+    cells = summary.standardized(entries(indexed), std)
     if p.compressFeatureMatrix:
         raw = BlockMatrix.of(entries(indexed), n, data.features, per_row, cols, True).entries()
-        cells = raw.join(std, "idx").where("std > 0").select("row_id", "idx", (F.col("value") / F.col("std")).alias("value"))
+        cells = summary.standardized(raw, std)
     if with_intercept:
         cells = cells.unionByName(indexed.select("row_id", F.lit(width - 1).cast("long").alias("idx"), F.lit(1.0).alias("value")))
     grid = GridPartitioner.requested(num_blocks(per_row, n), num_blocks(cols, width), p.rowPartitions, p.colPartitions)

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vastlin.functions import scalar, summary
+from vastlin.operators import grouping
 from vastlin.operators import instances as rows_of
-from vastlin.operators.blocks import BlockMatrix, GridPartitioner, pack_rows, split_entries, to_matrix
+from vastlin.operators.blocks import BlockMatrix, GridPartitioner, pack_rows, split_entries, stack_rows, to_matrix
 from vastlin.operators.dvector import DistVector, LocalVector
+from vastlin.plans.objectives import Grid, Rows, l2_penalty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,9 +83,21 @@ def row_index(spark, sf_dir):
     return rows_of.with_row_index(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
 
-@query("SELECT count(*) AS n FROM orders")
+@query("SELECT CAST(o_orderkey % 7 AS INTEGER) AS part, count(*) AS n FROM orders GROUP BY 1")
 def partition_sizes(spark, sf_dir):
-    return rows_of.partition_sizes(table(spark, sf_dir, "orders")).agg(F.sum("n").alias("n"))
+    dealt = table(spark, sf_dir, "orders").select("o_orderkey").repartitionById(7, F.pmod("o_orderkey", F.lit(7)).cast("int"))
+    return rows_of.partition_sizes(dealt)
+
+
+@query("SELECT o_custkey, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1")
+def grouped_by_sort(spark, sf_dir):
+    found = grouping.grouped_by_sort(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", 8)
+    return found.select("o_custkey", F.size("values").cast("long").alias("n"), F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("orders"))
+
+
+@query("SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 6) AS quantity FROM lineitem GROUP BY 1")
+def aggregated_by_key(spark, sf_dir):
+    return grouping.aggregated_by_key(table(spark, sf_dir, "lineitem"), "l_suppkey", F.count("*").alias("n"), near(F.sum("l_quantity")).alias("quantity"))
 
 
 @query(f"WITH {ROWS} SELECT row_id, CAST(idx // 10 AS INTEGER) AS cb, CAST(idx % 10 AS INTEGER) AS c, round(value, 6) + 0.0 AS value FROM x WHERE value <> 0")
@@ -107,6 +121,21 @@ def compressed_blocks(spark, sf_dir):
     return matrix(spark, sf_dir, True).entries().select("row_id", "idx", F.col("value").cast("float").alias("value"))
 
 
+@query("WITH x AS (SELECT l_orderkey % 500 AS r, l_linenumber AS c, sum(l_quantity) AS v FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL), n AS (SELECT unnest(range(500)) AS r) SELECT n.r AS row_id, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS columns, round(coalesce(sum(v), 0), 4) + 0.0 AS total FROM n LEFT JOIN x ON n.r = x.r GROUP BY n.r")
+def matrix_rows(spark, sf_dir):
+    """Every row of a matrix, those without entries too."""
+    x = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").groupBy((F.col("l_orderkey") % 500).alias("row_id"), F.col("l_linenumber").cast("long").alias("idx")).agg(F.sum("l_quantity").alias("value"))
+    rows = BlockMatrix.of(x, 500, 10, 60, 4).each_row()
+    joined = F.when(F.size("indices") > 0, F.array_join(F.transform("indices", lambda i: i.cast("string")), ","))
+    return rows.select("row_id", joined.alias("columns"), near(F.aggregate("values", F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
+
+
+@query(f"WITH {ROWS} SELECT row_id, idx, round(value * {BETA}, 6) + 0.0 AS value FROM x WHERE value <> 0")
+def columns_scaled(spark, sf_dir):
+    found = matrix(spark, sf_dir).scaled_columns(fixed(spark).df, lambda v, b: v * b)
+    return found.entries().select("row_id", "idx", near(F.col("value")).alias("value"))
+
+
 @query(f"WITH {ROWS}, b AS (SELECT DISTINCT CAST(row_id // 100 AS INTEGER) AS rb, CAST(idx // 10 AS INTEGER) AS cb FROM x WHERE value <> 0), n AS (SELECT max(vec_id) // 100 + 1 AS rows FROM embeddings) SELECT rb, cb, CAST(rb // 2 + (cb // 3) * ceil(rows / 2.0) AS INTEGER) AS part FROM b, n")
 def grid_partitions(spark, sf_dir):
     m = matrix(spark, sf_dir)
@@ -145,7 +174,7 @@ def feature_std(spark, sf_dir):
 @query(f"WITH {ROWS}, {STD} SELECT row_id, idx, round(value / std, 6) + 0.0 AS value FROM x JOIN s USING (idx) WHERE std <> 0 AND value <> 0")
 def standardized_entries(spark, sf_dir):
     std = summary.feature_std(cells(spark, sf_dir), summary.totals(embeddings(spark, sf_dir)))
-    return cells(spark, sf_dir).join(F.broadcast(std), "idx").where("std <> 0").select("row_id", "idx", near(F.col("value") / F.col("std")).alias("value"))
+    return summary.standardized(cells(spark, sf_dir), std).select("row_id", "idx", near(F.col("value")).alias("value"))
 
 
 def fixed(spark: SparkSession, classes: int = 1) -> DistVector:
@@ -159,57 +188,78 @@ def block_margins(spark, sf_dir):
     return at.join(embeddings(spark, sf_dir).select("row_id"), "row_id").select("row_id", near(F.col("margin")).alias("margin"))
 
 
+L2 = 0.3
+
+
+def _evaluated(spark: SparkSession, value: float, gradient: DataFrame) -> DataFrame:
+    """(what, idx, value): the loss and the gradient's components."""
+    loss = spark.createDataFrame([("loss", -1, value)], "what string, idx long, value double")
+    return loss.unionAll(gradient.select(F.lit("gradient"), "idx", "value")).withColumn("value", near(F.col("value")))
+
+
 def evaluate(spark, sf_dir, kind: str) -> DataFrame:
-    """Loss and gradient in long form, one joined aggregation each: the form that SQL can check."""
-    e = cells(spark, sf_dir)
+    """Loss and gradient over packed rows, with coefficients on the driver."""
+    classes = 3 if kind == "softmax" else 1
+    e = embeddings(spark, sf_dir)
+    rows = e.select("label", "weight", rows_of.vector_entries(F.col("features")).alias("entries"))
+    objective = Rows.of(kind, rows, np.ones(DIM), DIM, classes, False, summary.totals(e)["w"], L2, np.ones(DIM * classes))
+    value, gradient = objective(LocalVector(fixed(spark, classes).to_numpy()))
+    objective.close()
+    return _evaluated(spark, value, spark.createDataFrame(list(enumerate(gradient.values.tolist())), "idx long, value double"))
+
+
+def evaluate_grid(spark, sf_dir, kind: str) -> DataFrame:
+    """The same over a block matrix, with distributed coefficients and gradient."""
     classes = 3 if kind == "softmax" else 1
-    k = F.explode(F.sequence(F.lit(0), F.lit(classes - 1))) if classes > 1 else F.lit(0)
-    wide = e.select("*", k.alias("k")).withColumn("b", beta() if classes == 1 else (F.pmod((F.col("idx") * classes + F.col("k")) * 7, F.lit(13)) - 6) / 10.0)
-    scores = wide.groupBy("row_id", "k").agg(F.sum(F.col("value") * F.col("b")).alias("s"))
-    labels = embeddings(spark, sf_dir).select("row_id", "label", "weight")
-    met = scores.join(labels, "row_id")
-    if kind == "logistic":
-        m = met.withColumn("loss", scalar.logistic_loss(F.col("label"), -F.col("s"), F.col("weight"))).withColumn("mult", scalar.logistic_multiplier(F.col("label"), -F.col("s"), F.col("weight")))
-    elif kind == "linear":
-        m = met.withColumn("loss", scalar.squared_loss(F.col("s") - F.col("label"), F.col("weight"))).withColumn("mult", F.col("weight") * (F.col("s") - F.col("label")))
-    else:
-        grouped = met.groupBy("row_id", "label", "weight").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("all")).withColumn("p", scalar.softmax(F.col("all.s")))
-        m = grouped.select("row_id", "label", "weight", F.posexplode("p").alias("k", "prob"))
-        hit = (F.col("k") == F.col("label")).cast("double")
-        m = m.withColumn("loss", -F.col("weight") * hit * F.log("prob")).withColumn("mult", F.col("weight") * (F.col("prob") - hit))
-    w = labels.agg(F.sum("weight").alias("W"))
-    loss = m.agg(F.sum("loss").alias("value")).crossJoin(w).select(F.lit("loss").alias("what"), F.lit(-1).cast("long").alias("idx"), near(F.col("value") / F.col("W")).alias("value"))
-    grad = e.join(m.select("row_id", "k", "mult"), "row_id").groupBy("idx", "k").agg(F.sum(F.col("value") * F.col("mult")).alias("g")).crossJoin(F.broadcast(w))
-    return loss.unionAll(grad.select(F.lit("gradient"), (F.col("idx") * classes + F.col("k")).cast("long"), near(F.col("g") / F.col("W"))))
+    e, m = embeddings(spark, sf_dir), matrix(spark, sf_dir)
+    grid = GridPartitioner.requested(rows_of.num_blocks(m.rows_per_block, m.rows), rows_of.num_blocks(m.cols_per_block, m.cols), 2, 3)
+    ones = fixed(spark, classes).map(lambda v: F.lit(1.0))
+    objective = Grid(kind, m.dealt(grid).persist(), pack_rows(e, m.rows_per_block), classes, summary.totals(e)["w"], L2, ones)
+    value, gradient = objective(fixed(spark, classes).materialize())
+    objective.close()
+    return _evaluated(spark, value, gradient.to_long())
 
 
 def _evaluation_sql(loss: str, mult: str) -> str:
-    return f"WITH {ROWS}, z AS (SELECT row_id, label, weight AS w, sum(value * {BETA}) AS s FROM x GROUP BY ALL), f AS (SELECT row_id, {loss} AS loss, {mult} AS mult FROM z), t AS (SELECT sum(weight) AS W FROM r) SELECT 'loss' AS what, CAST(-1 AS BIGINT) AS idx, round(sum(loss) / max(W), 6) + 0.0 AS value FROM f, t UNION ALL SELECT 'gradient', CAST(idx AS BIGINT), round(sum(value * mult) / max(W), 6) + 0.0 FROM x JOIN f USING (row_id), t GROUP BY idx"
+    penalty = f"{L2 / 2} * (SELECT sum(b * b) FROM (SELECT {BETA} AS b FROM range(64) AS t(idx)))"
+    return f"""WITH {ROWS}, z AS (SELECT row_id, label, weight AS w, sum(value * {BETA}) AS s FROM x GROUP BY ALL),
+f AS (SELECT row_id, {loss} AS loss, {mult} AS mult FROM z), t AS (SELECT sum(weight) AS W FROM r)
+SELECT 'loss' AS what, CAST(-1 AS BIGINT) AS idx, round(sum(loss) / max(W) + {penalty}, 6) + 0.0 AS value FROM f, t
+UNION ALL SELECT 'gradient', CAST(idx AS BIGINT), round(sum(value * mult) / max(W) + {L2} * {BETA}, 6) + 0.0 FROM x JOIN f USING (row_id), t GROUP BY idx"""
 
 
-@query(_evaluation_sql("w * (ln(1 + exp(-s)) + CASE WHEN label > 0 THEN 0 ELSE s END)", "w * (1 / (1 + exp(-s)) - label)"))
-def logistic_objective(spark, sf_dir):
-    return evaluate(spark, sf_dir, "logistic")
+_OF = "(((idx * 3 + k) * 7) % 13 - 6) / 10.0"
+OBJECTIVES = {
+    "logistic": _evaluation_sql("w * (ln(1 + exp(-s)) + CASE WHEN label > 0 THEN 0 ELSE s END)", "w * (1 / (1 + exp(-s)) - label)"),
+    "linear": _evaluation_sql("w * (s - label) * (s - label) / 2", "w * (s - label)"),
+    "softmax": f"""WITH {ROWS}, z AS (SELECT row_id, label, weight AS w, k, sum(value * {_OF}) AS s FROM x, (SELECT unnest(range(3)) AS k) GROUP BY ALL),
+p AS (SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY row_id) AS p FROM z),
+f AS (SELECT row_id, k, CASE WHEN k = label THEN -w * ln(p) ELSE 0 END AS loss, w * (p - CASE WHEN k = label THEN 1 ELSE 0 END) AS mult FROM p),
+t AS (SELECT sum(weight) AS W FROM r), b AS (SELECT sum({_OF} * {_OF}) AS b FROM range(64) AS t(idx), (SELECT unnest(range(3)) AS k))
+SELECT 'loss' AS what, CAST(-1 AS BIGINT) AS idx, round(sum(loss) / max(W) + {L2 / 2} * max(b), 6) + 0.0 AS value FROM f, t, b
+UNION ALL SELECT 'gradient', CAST(idx * 3 + k AS BIGINT), round(sum(value * mult) / max(W) + {L2} * {_OF}, 6) + 0.0 FROM x JOIN f USING (row_id), t GROUP BY idx, k""",
+}
 
 
-@query(_evaluation_sql("w * (s - label) * (s - label) / 2", "w * (s - label)"))
-def linear_objective(spark, sf_dir):
-    return evaluate(spark, sf_dir, "linear")
+def _objective_queries(kind: str) -> None:
+    QUERIES[f"{kind}_objective"] = lambda spark, sf_dir: evaluate(spark, sf_dir, kind)
+    QUERIES[f"{kind}_objective_distributed"] = lambda spark, sf_dir: evaluate_grid(spark, sf_dir, kind)
+    ORACLES[f"{kind}_objective"] = ORACLES[f"{kind}_objective_distributed"] = OBJECTIVES[kind]
 
 
-@query(
-    f"WITH {ROWS}, z AS (SELECT row_id, label, weight AS w, k, sum(value * (((idx * 3 + k) * 7) % 13 - 6) / 10.0) AS s FROM x, (SELECT unnest(range(3)) AS k) GROUP BY ALL), p AS (SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY row_id) AS p FROM z), f AS (SELECT row_id, k, CASE WHEN k = label THEN -w * ln(p) ELSE 0 END AS loss, w * (p - CASE WHEN k = label THEN 1 ELSE 0 END) AS mult FROM p), t AS (SELECT sum(weight) AS W FROM r) SELECT 'loss' AS what, CAST(-1 AS BIGINT) AS idx, round(sum(loss) / max(W), 6) + 0.0 AS value FROM f, t UNION ALL SELECT 'gradient', CAST(idx * 3 + k AS BIGINT), round(sum(value * mult) / max(W), 6) + 0.0 FROM x JOIN f USING (row_id), t GROUP BY idx, k"
-)
-def softmax_objective(spark, sf_dir):
-    return evaluate(spark, sf_dir, "softmax")
+for _kind in OBJECTIVES:
+    _objective_queries(_kind)
 
 
 @query(f"WITH {ROWS}, {STD}, b AS (SELECT idx, std, {BETA} AS b FROM s) SELECT round(0.5 * 0.3 * sum(b * b), 6) AS standardized, round(0.5 * 0.3 * sum(CASE WHEN std = 0 THEN 0 ELSE b * b / (std * std) END), 5) AS original, round(0.3 * sum(abs(b)), 6) AS l1, round(0.3 * sum(CASE WHEN std = 0 THEN 0 ELSE abs(b) / std END), 6) AS l1_original FROM b")
 def penalties(spark, sf_dir):
-    s = summary.feature_std(cells(spark, sf_dir), summary.totals(embeddings(spark, sf_dir))).withColumn("b", beta())
-    scaled = lambda x, p: F.when(F.col("std") == 0, 0.0).otherwise(x / F.pow("std", F.lit(p)))
-    b2 = F.col("b") * F.col("b")
-    return s.agg(near(0.15 * F.sum(b2)).alias("standardized"), near(0.15 * F.sum(scaled(b2, 2.0)), 5).alias("original"), near(0.3 * F.sum(F.abs("b"))).alias("l1"), near(0.3 * F.sum(scaled(F.abs("b"), 1.0))).alias("l1_original"))
+    std = np.zeros(DIM)
+    for r in summary.feature_std(cells(spark, sf_dir), summary.totals(embeddings(spark, sf_dir))).collect():
+        std[r["idx"]] = r["std"]
+    b = fixed(spark).to_numpy()
+    scale = np.divide(1.0, std, out=np.zeros(DIM), where=std > 0)
+    values = [l2_penalty(b, L2, np.ones(DIM))[0], l2_penalty(b, L2, scale * scale)[0], LocalVector(b).l1_value(LocalVector(np.full(DIM, L2))), LocalVector(b).l1_value(LocalVector(L2 * scale))]
+    return spark.createDataFrame([tuple(round(v, d) for v, d in zip(values, (6, 5, 6, 6), strict=True))], "standardized double, original double, l1 double, l1_original double")
 
 
 def _vectors(spark, sf_dir) -> tuple[DistVector, DistVector]:
@@ -328,13 +378,40 @@ def fit_logistic_embeddings(spark, sf_dir):
     return m.coefficient_rows(spark)
 
 
-@query()
+SPLIT = {"layout": "distributed", "colsPerBlock": 1, "rowsPerBlock": 700, "rowPartitions": 2, "colPartitions": 2, "tol": 1e-12}
+
+
+@query("WITH p AS (SELECT p_partkey % 3 = 0 AS x, avg(CAST(p_size > 20 AS DOUBLE)) AS p FROM part GROUP BY 1), b AS (SELECT ln(p / (1 - p)) AS b0 FROM p WHERE NOT x), c AS (SELECT ln(p / (1 - p)) AS b1 FROM p WHERE x) SELECT 'coefficient' AS name, round(b1 - b0, 3) + 0.0 AS value FROM b, c UNION ALL SELECT 'intercept', round(b0, 3) + 0.0 FROM b")
 def fit_logistic_distributed(spark, sf_dir):
-    """The same kind of model with distributed coefficients, a few iterations."""
     from vastlin.models import LogisticRegression
 
-    m = LogisticRegression(weightCol="weight", regParam=0.1, layout="distributed", colsPerBlock=16, rowsPerBlock=1000, maxIter=3).fit(embeddings(spark, sf_dir))
-    return m.coefficient_rows(spark)
+    df = table(spark, sf_dir, "part").select((F.col("p_size") > 20).cast("double").alias("label"), F.array((F.col("p_partkey") % 3 == 0).cast("double")).alias("features"))
+    m = LogisticRegression(**SPLIT).fit(df)
+    return _coefficients(spark, [m.coefficients[0], m.intercept], ["coefficient", "intercept"], 3)
+
+
+@query("WITH n AS (SELECT p_partkey % 2 AS g, CAST(floor(p_size / 17) AS INTEGER) AS k, sum(1.0 + p_partkey % 5) AS n FROM part GROUP BY ALL), p AS (SELECT g, k, ln(n / sum(n) OVER (PARTITION BY g)) AS l FROM n) SELECT g || '/' || k AS name, round(l - avg(l) OVER (PARTITION BY g), 3) + 0.0 AS value FROM p")
+def fit_softmax_distributed(spark, sf_dir):
+    from vastlin.models import SoftmaxRegression
+
+    of = F.col("p_partkey") % 2
+    df = table(spark, sf_dir, "part").select(F.floor(F.col("p_size") / 17).cast("double").alias("label"), (1.0 + F.col("p_partkey") % 5).alias("weight"), F.array(*[(of == g).cast("double") for g in range(2)]).alias("features"))
+    m = SoftmaxRegression(weightCol="weight", **SPLIT).fit(df).matrix
+    return _coefficients(spark, m.T.ravel(), [f"{g}/{k}" for g in range(2) for k in range(len(m))], 3)
+
+
+@query(
+    """WITH r AS (SELECT p_retailprice / 1000 AS y, p_size / 10.0 AS x, 1.0 + p_partkey % 3 AS w FROM part),
+t AS (SELECT sum(w) AS sw, sum(w * w) AS sww, sum(w * y) / sum(w) AS my, sum(w * x) / sum(w) AS mx FROM r),
+c AS (SELECT sum(w * x * y) / max(sw) AS xy, sum(w * x * x) / max(sw) AS xx, sqrt(sum(w * (y - my) * (y - my)) / max(sw - sww / sw)) AS sy, sqrt(sum(w * (x - mx) * (x - mx)) / max(sw - sww / sw)) AS sx FROM r, t)
+SELECT 'coefficient' AS name, round(sign(xy) * greatest(abs(xy) - 0.5 * 0.3 * sx, 0) / (xx + 0.5 * 0.3 * sx * sx / sy), 4) + 0.0 AS value FROM c"""
+)
+def fit_elastic_net_distributed(spark, sf_dir):
+    from vastlin.models import LinearRegression
+
+    df = table(spark, sf_dir, "part").select((F.col("p_retailprice") / 1000).alias("label"), (1.0 + F.pmod("p_partkey", F.lit(3))).alias("weight"), F.array(F.col("p_size") / 10.0).alias("features"))
+    m = LinearRegression(weightCol="weight", regParam=0.3, elasticNetParam=0.5, fitIntercept=False, **SPLIT).fit(df)
+    return _coefficients(spark, m.coefficients, ["coefficient"])
 
 
 @query(f"WITH {ROWS}, z AS (SELECT row_id, 0.2 + sum(value * {BETA}) AS m FROM x GROUP BY row_id) SELECT row_id, round(1 / (1 + exp(-m)), 6) AS probability, CAST(1 / (1 + exp(-m)) > 0.6 AS DOUBLE) AS prediction FROM z")
@@ -362,9 +439,30 @@ def minimize_quadratic_l1(spark, sf_dir):
     return _coefficients(spark, s.x.values, [f"x{i}" for i in range(10)])
 
 
-@query("SELECT CAST(400 AS BIGINT) AS n, CAST(4000 AS BIGINT) AS entries")
+@query("SELECT 'x' || i AS name, 3.0 AS value FROM range(10) AS t(i)")
+def minimize_quadratic_distributed(spark, sf_dir):
+    from vastlin.plans.lbfgs import LBFGS, quadratic
+
+    s = LBFGS(50, 5).minimize(quadratic(), DistVector.of(spark, np.linspace(-10, 10, 10), 4))
+    return _coefficients(spark, s.x.to_numpy(), [f"x{i}" for i in range(10)])
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(v AS DOUBLE) AS v FROM (VALUES (0, 1, 2), (0, 4, 5), (2, 0, 7)) AS t(i, j, v)")
+def stacked_rows(spark, sf_dir):
+    from pyspark.ml.linalg import Vectors
+
+    m = stack_rows([Vectors.sparse(5, [1, 4], [2.0, 5.0]), Vectors.sparse(5, [], []), Vectors.dense([7.0, 0, 0, 0, 0])]).toArray()
+    return spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "i int, j int, v double")
+
+
+@query("SELECT CAST(400 AS BIGINT) AS n, CAST(4000 AS BIGINT) AS entries, CAST(400 AS BIGINT) AS increasing, CAST(400 AS BIGINT) AS labelled, true AS inside, true AS differ")
 def generated_records(spark, sf_dir):
     from vastlin import sources
 
-    lines = sources.generate(spark, 50, 4, 100, 10)
-    return lines.agg(F.count("*").alias("n"), F.sum(F.size(F.split("value", " ")) - 1).alias("entries"))
+    parts = F.split("value", " ")
+    at = F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda x: F.split(x, ":")[0].cast("int"))
+    lines = sources.generate(spark, 50, 4, 100, 10).select("value", parts[0].cast("double").alias("label"), at.alias("at"))
+    return lines.agg(
+        F.count("*").alias("n"), F.sum(F.size("at")).alias("entries"), F.count_if(F.array_sort(F.array_distinct("at")) == F.col("at")).alias("increasing"), F.count_if(F.col("label").isin(0.0, 1.0)).alias("labelled"),
+        ((F.min(F.array_min("at")) >= 1) & (F.max(F.array_max("at")) <= 50)).alias("inside"), (F.count_distinct("value") > 390).alias("differ"),
+    )

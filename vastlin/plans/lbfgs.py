@@ -254,7 +254,7 @@ def rosenbrock(x: Any) -> tuple[float, Any]:
     if isinstance(x, DistVector):
         if x.per_block % 2 or x.size % 2:
             raise ValueError("pairs must not be split")
-        pair = F.transform(F.sequence(F.lit(0), F.size("values") / 2 - 1), lambda i: F.struct(F.element_at("values", (2 * i + 1).cast("int")).alias("a"), F.element_at("values", (2 * i + 2).cast("int")).alias("b")))
+        pair = F.transform(F.sequence(F.lit(0), (F.size("values") / 2).cast("int") - 1), lambda i: F.struct(F.element_at("values", (2 * i + 1).cast("int")).alias("a"), F.element_at("values", (2 * i + 2).cast("int")).alias("b")))
         pairs = x.df.select("pid", pair.alias("p"))
         each = lambda p: F.pow(1 - p["a"], F.lit(2.0)) + 100 * F.pow(p["b"] - p["a"] * p["a"], F.lit(2.0))
         value = pairs.agg(F.sum(F.aggregate("p", F.lit(0.0), lambda s, p: s + each(p)))).first()[0]

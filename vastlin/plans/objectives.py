@@ -43,7 +43,7 @@ def loss_and_multiplier(kind: str, labels: np.ndarray, weights: np.ndarray, scor
     return float(loss.sum()), weights[:, None] * p
 
 
-def _l2(beta: np.ndarray, l2: float, weight: np.ndarray) -> tuple[float, np.ndarray]:
+def l2_penalty(beta: np.ndarray, l2: float, weight: np.ndarray) -> tuple[float, np.ndarray]:
     """The penalty and its gradient; ``weight`` is 1 for penalised components on the standardized scale, 1 / std^2 otherwise."""
     return 0.5 * l2 * float((weight * beta * beta).sum()), l2 * weight * beta
 
@@ -127,7 +127,7 @@ class Rows:
         sent.unpersist()
         loss = sum(r["loss"] for r in got) / self.total_weight
         grad = sum((np.frombuffer(r["grad"]) for r in got), np.zeros(x.size)) / self.total_weight
-        penalty, slope = _l2(x.values, self.l2, self.l2_weight)
+        penalty, slope = l2_penalty(x.values, self.l2, self.l2_weight)
         return loss + penalty, LocalVector(grad + slope)
 
     def close(self) -> None:
