@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,8 @@ from vastlin.llm.text import BLANKS, Words, add_columns, remainder, text_of, utf
 
 SAMPLE_DOCS = 6000
 SAMPLE_LINES = 2000
+#: Lines of all documents of the sample together; the driver needs about 2 KB for each.
+SAMPLE_TOTAL = 100_000
 #: Documents with a score from here on are predicted to be of quality 1.
 THRESHOLD = 0.3
 
@@ -194,9 +196,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", quality: str =
     """
     chosen = labels.where(F.col(quality).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(quality).cast("int").alias("_q")).orderBy(F.xxhash64(key), "_q").limit(sample_docs)
     rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_k")
-    rows = rows.where(F.length("_t") - F.length(F.translate("_t", "\n", "")) < SAMPLE_LINES)
+    rows = rows.withColumn("_lines", F.length("_t") - F.length(F.translate("_t", "\n", "")) + 1).where(F.col("_lines") <= SAMPLE_LINES)
     # rows may share a key
     rows = rows.orderBy(F.xxhash64("_k"), F.xxhash64("_t"), "_q").limit(sample_docs)
+    order = Window.orderBy(F.xxhash64("_k"), F.xxhash64("_t"), "_q")  # over the sample alone
+    rows = rows.withColumn("_so_far", F.sum("_lines").over(order)).where(F.col("_so_far") <= SAMPLE_TOTAL)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         x, first, length = line_features(text_of(batch, "_t"))
