@@ -297,3 +297,22 @@ def test_suffix_tree_score_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(suffix_tree, "MODEL_BYTES", 8 * 40 * 60)
     cut = {r.doc_id: r.score for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string"), learned).collect()}
     assert sum(cut.values()) < sum(got.values()) and len(cut) == len(rows)
+
+
+def test_pii_base_spans_by_plain_patterns(spark):
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
+
+    def fine(kind, m):
+        d = [int(c) for c in m if c in "0123456789"]
+        if kind == "card":
+            return 12 <= len(d) <= 19 and sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(d[::-1])) % 10 == 0
+        return all(int(p) <= 255 for p in m.split(".")) if kind == "ip" else 9 <= len(d) <= 15 if kind == "phone" else True
+
+    rnd = np.random.default_rng(4)
+    pieces = ["1.2.3.4", "12.345.6.7.8.9", "4111 1111-1111 1111", "a@b.c", "+1 (22) 333-4444", "é😀", "@", ".", "-", " ", "  ", "7", "x_y", "\n", "+", "00.0.0.256", "5500000000000004", "a.b@c-d.e.f@g.h", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5"]
+    rows = [(i, "".join(pieces[k] for k in rnd.integers(0, len(pieces), rnd.integers(1, 25)))) for i in range(400)]
+    rows += [(1000, "7 12 " * 30000), (1001, "1.2.3.4 " * 20000), (1002, "9-" * 40000)]
+    got = {r.doc_id: r.base_spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "base_spans").collect()}
+    for i, t in rows:
+        want = sorted((m.start(), rank, m.end()) for rank, kind in enumerate(pii.KINDS) for m in re.finditer(plain[kind], t) if fine(kind, m[0]))
+        assert [(s["start"], s["rank"], s["end"]) for s in got[i]] == want, t[:80]

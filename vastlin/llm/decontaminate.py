@@ -313,7 +313,7 @@ def _merged(spans):
 
 def remove(docs: DataFrame, items: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns of ``docs`` with the hit spans cut out of the text; rows without hits stay byte for byte."""
-    found, last, before = boxed(docs, _text=F.col(text)), None, None
+    found, last, before = boxed(docs, text), None, None
     for phrases in phrase_blocks(items, "item_id", "text", block_bytes):
         if last is not None:  # spans of all blocks but the last go along
             found = _block(found, last, "_text") if before is None else _further(found, last, "_text")

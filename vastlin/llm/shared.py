@@ -17,13 +17,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
-    """The rows of ``docs`` as one column ``_row``, beside the columns given: no name of ``docs`` clashes with another."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(x.alias(name) for name, x in columns.items()))
+def boxed(docs: DataFrame, text: str, name: str = "_text", **columns: Column) -> DataFrame:
+    """The rows of ``docs`` as one column ``_row``, but for the text, beside that and the columns given: no name of ``docs`` clashes with another."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(None).cast("int").alias("_none")]
+    return docs.select(F.struct(*rest).alias("_row"), F.col(text).alias(name), *(x.alias(c) for c, x in columns.items()))
 
 
 def unboxed(df: DataFrame, names: list[str], **columns: Column) -> DataFrame:
-    """The columns ``names`` of ``boxed`` rows, with those given in place of theirs or behind them."""
+    """The columns ``names`` of ``boxed`` rows, with those given, the text among them, in place of theirs or behind them."""
     own = [columns.get(c, F.col("_row").getField(c)).alias(c) for c in names]
     return df.select(*own, *(x.alias(c) for c, x in columns.items() if c not in names))
 

@@ -35,7 +35,10 @@ _DIGIT = re.compile("[0-9]")
 def masked(line: str) -> list[str]:
     """The tokens of a line, those with a digit as variables."""
     tokens = line.split()
-    return [VARIABLE if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+    if _DIGIT.search(line):
+        has_digit = _DIGIT.search
+        return [VARIABLE if has_digit(t) else t for t in tokens]
+    return tokens
 
 
 def _hash(s: str) -> int:
@@ -165,7 +168,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_to
     has one line. Rows with equal key and text get equal results, so repeated rows stay repeated. Columns named
     as the two counts are replaced.
     """
-    marked = boxed(docs, _text=F.col(text), _key=F.col(key), _text_hash=F.xxhash64(F.col(text)))
+    marked = boxed(docs, text, _key=F.col(key), _text_hash=F.xxhash64(F.col(text)))
     drop = recurring(marked, "_text", "_key", min_tokens, leading, similarity, min_texts)
     of_text = drop.groupBy("_text_hash").agg(F.collect_list(F.struct("line", "keep_key", "keep_hash")).alias("_drop"))
     met = marked.join(of_text, "_text_hash", "left")
