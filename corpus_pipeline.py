@@ -27,8 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.train(docs.where(~language.held_out()))
     if not model.languages:
         return docs
-    found = language.predict(boxed(docs, _text=F.col("text")), model, "_text")
-    return unboxed(found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_POSTERIOR)), docs.columns)
+    found = language.predict(boxed(docs, "text"), model, "_text")
+    return unboxed(found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_POSTERIOR)), docs.columns, text=F.col("_text"))
 
 
 def _resized(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -39,7 +39,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines of recurring templates, but for their first document; a document that is left with nothing goes."""
     small_batches(spark)
     names = docs.columns
-    cut = templates.dedup_lines(boxed(docs, text=F.col("text"), doc_id=F.col("doc_id")))
+    cut = templates.dedup_lines(boxed(docs, "text", "text", doc_id=F.col("doc_id")))
     cut = cut.where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
     return _resized(unboxed(cut, names, text=F.col("text")), names)
 
@@ -51,7 +51,7 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     of rows that share both one stays.
     """
     small_batches(spark)
-    rows = boxed(docs, doc_id=F.col("doc_id"), text=F.col("text"))
+    rows = boxed(docs, "text", "text", doc_id=F.col("doc_id"))
     identity = F.struct("doc_id", F.xxhash64("text").alias("hash"))
     found = checkpointed(jaccard.join(rows.select(identity.alias("_id"), "text"), key="_id").where("_id.doc_id is not null"))
     gone = found.where("component_id <> _id").select("_id").distinct()
@@ -59,7 +59,7 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     left = rows.withColumn("_id", identity).join(gone, "_id", "left_anti")
     if not again.isEmpty():
         left = left.join(again, "_id", "left_anti").unionByName(left.join(again, "_id", "left_semi").dropDuplicates(["_id"]))
-    return unboxed(left, docs.columns)
+    return unboxed(left, docs.columns, text=F.col("text"))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
