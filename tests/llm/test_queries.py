@@ -316,3 +316,19 @@ def test_pii_base_spans_by_plain_patterns(spark):
     for i, t in rows:
         want = sorted((m.start(), rank, m.end()) for rank, kind in enumerate(pii.KINDS) for m in re.finditer(plain[kind], t) if fine(kind, m[0]))
         assert [(s["start"], s["rank"], s["end"]) for s in got[i]] == want, t[:80]
+
+
+def test_simhash_recall_of_long_signatures(spark):
+    """Pairs right above the threshold, by the bits and tables of a large corpus."""
+    rnd = np.random.default_rng(8)
+    n, d = 1500, 32
+    a, noise = rnd.normal(size=(n, d)), rnd.normal(size=(n, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise -= (noise * a).sum(1, keepdims=True) * a
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    b = 0.951 * a + np.sqrt(1 - 0.951**2) * noise
+    bits, tables = simhash.plan(1_000_000)
+    assert bits >= 14
+    code = simhash.signatures(spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(np.concatenate((a, b)))], "vec long, embedding array<double>, size long"), d, bits, tables).orderBy("vec").toPandas()
+    code = np.array(code["codes"].tolist())
+    assert (code[:n] == code[n:]).any(1).mean() >= 0.99

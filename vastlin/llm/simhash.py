@@ -80,14 +80,15 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (table, code, left, right, side, vec): links of every vector and an edge to its block component."""
-    held: list[tuple] = []
+    held: list[tuple[np.ndarray, ...]] = []
     of: tuple | None = None
 
     def emit() -> Iterator[pa.RecordBatch]:
         t, _, left, right = of
-        vec = np.array([r[0] for r in held], np.int64)
-        x = _unit(np.array([r[1] for r in held], np.float64))
-        size, codes, side = np.array([r[2] for r in held], np.int64), np.array([r[3] for r in held]), np.array([r[4] for r in held])
+        vec, x, size, codes, side = (np.concatenate(c) for c in zip(*held, strict=True))
+        if len(vec) < 2:
+            return
+        x = _unit(x)
         links = np.zeros(len(vec), np.int64)
         one = np.flatnonzero(side == 0)
         two = one if left == right else np.flatnonzero(side == 1)
@@ -113,15 +114,18 @@ def compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(vec[use]), pa.array(links[use]), pa.array(vec[low[use]])], ["vec", "links", "to"])
 
     for batch in batches:
-        names = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
-        rows = list(zip(*(batch.column(k).to_pylist() for k in (5, 6, 7, 8, 4)), strict=True))
-        for name, row in zip(names, rows, strict=True):
-            if name != of:
-                if len(held) > 1:
+        if not batch.num_rows:
+            continue
+        names = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], 1)
+        cut = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
+        rows = (batch.column(5).to_numpy(), _matrix(batch.column(6)), batch.column(7).to_numpy(), _matrix(batch.column(8)), batch.column(4).to_numpy())
+        for i, j in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+            if (name := tuple(names[i].tolist())) != of:
+                if held:
                     yield from emit()
                 of, held = name, []
-            held.append(row)
-    if len(held) > 1:
+            held.append(tuple(c[i:j] for c in rows))
+    if held:
         yield from emit()
 
 
@@ -144,13 +148,16 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         bits, tables = plan(n, threshold, recall)
         own = groups.where(F.size("embedding") == d)
         signed = checkpointed(signatures(own, d, bits, tables))
-        met = signed.select("vec", "embedding", "size", "codes", F.posexplode("codes").alias("table", "code"))
+        # vectors are fetched only for buckets with company, and travel once for each
+        met = signed.select("vec", F.posexplode("codes").alias("table", "code"))
         count = met.groupBy("table", "code").agg(F.count("*").alias("n")).where("n > 1").select("table", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
         met = met.join(count, ["table", "code"]).withColumn("block", F.pmod(F.xxhash64("vec", "table"), "blocks").cast("int"))
         # each block meets itself and every other block of its bucket once
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         met = met.select("*", other.alias("other"))
-        dealt = met.select("table", "code", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "vec", "embedding", "size", "codes")
+        side = F.when(F.col("block") <= F.col("other"), 0).otherwise(1)
+        met = met.select("table", "code", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), side.alias("side"), "vec")
+        dealt = met.join(signed, "vec").select("table", "code", "left", "right", "side", "vec", "embedding", "size", "codes")
         keys = ["table", "code", "left", "right"]
         dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "side", "vec")
         found = checkpointed(dealt.mapInArrow(lambda b: compare(b, threshold), "vec long, links long, to long"))
