@@ -294,11 +294,6 @@ class Encoder:
             return b"".join(map(self.words.__getitem__, self.find(text)))
         return b"".join(map(self.pieces.__getitem__, _FOLDED.split(text) if _SEPARATORS.search(text) else text.split()))
 
-    def forget(self) -> None:
-        """Empties the caches."""
-        for memo in (self.pairs, self.spines, self.words, self.pieces):
-            memo.clear()
-
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian int32; the added tokens' strings count as those tokens."""
         if not text:
@@ -398,7 +393,6 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "to
                 np.cumsum([len(r) // 4 for r in raw], out=off[1:])
                 back = pa.array([decoder.decode(flat[off[i] : off[i + 1]]) for i in range(len(raw))], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(off), pa.array(flat, pa.int32())), back], [*keep, ids, decoded])
-        encoder.forget()  # a worker lives on after the task
         tidy()
 
     return docs.select(*keep).mapInArrow(run, schema)
