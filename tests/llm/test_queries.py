@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vastlin.llm import bpe, decontaminate, jaccard, language, passages, pii, quality, simhash, suffix_tree, templates
+from vastlin.llm import bpe, decontaminate, jaccard, language, passages, pii, quality, shared, simhash, suffix_tree, templates
 from vastlin.llm.queries import tokenizer_path
 
 WORDS = "river stone light forest window garden letter winter summer silver copper bridge market corner pencil bottle engine ladder mirror basket".split()
@@ -218,6 +218,25 @@ def test_short_and_digit_heavy_lines(spark):
     assert all(got[20 + i].n_dropped == 0 for i in range(4))
 
 
+def test_salted_join_as_a_plain_one(spark):
+    rows = spark.range(600).select(F.when(F.col("id") % 3 > 0, 1).when(F.col("id") % 6 == 0, F.col("id")).alias("k"), F.col("id").alias("x"))
+    facts = spark.createDataFrame([(1, "a"), (6, "b"), (7, "c"), (12, "d")], "k long, f string")
+    hot = shared.hot_keys(rows.groupBy("k").agg(F.count("*").alias("n")), "k")
+    assert [r.k for r in hot.where("k is not null").collect()] == [1]
+    for how in ("inner", "left"):
+        got = shared.salted_join(rows, facts, "k", hot, F.col("x"), how)
+        assert sorted(map(str, got.select("k", "x", "f").collect())) == sorted(map(str, rows.join(facts, "k", how).select("k", "x", "f").collect()))
+
+
+def test_a_line_and_a_template_in_very_many_texts(spark):
+    rows = [(i, f"{plain(i, 9)}\nall rights reserved\nread more about {plain(i, 1)} on the next page of it\n{plain(i + 500, 7)}") for i in range(200)]
+    rows += [(1000 + i, rows[7][1]) for i in range(150)] + [(2000 + i, None) for i in range(100)]
+    got = {r.doc_id: r for r in templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) and got[0].text == rows[0][1]
+    assert {got[i].n_dropped for i in [*range(1, 200), *range(1000, 1150)]} == {2}
+    assert all(got[1000 + i].text == got[7].text for i in range(150)) and all(got[2000 + i].text is None for i in range(100))
+
+
 #: Names that operators use inside, and those of their results.
 NAMES = ["_text", "_key", "_row", "_left", "_lines", "_drop", "_text_hash", "_candidates", "_id", "node", "n", "items", "n_words", "n_hit", "hit_spans", "cut_spans", "line", "leaf", "region", "root", "key", "row_key", "w", "held_out", "base_spans_", "bucket", "block"]
 

@@ -47,6 +47,26 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+#: A key is hot if it has this share of all rows, so at most its inverse are; the rows of each are dealt over ``SALTS`` tasks.
+HOT_SHARE, SALTS = 1e-3, 64
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """The hot keys of (key, n), which is best checkpointed as it is read twice; at most 1 / HOT_SHARE, as small as a broadcast needs."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    return counts.where(F.col(n) >= max(HOT_SHARE * total, SALTS)).select(key)
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` on ``key``; rows of the keys in ``hot`` are dealt by the hash of ``by``, and their facts repeated for each salt."""
+    mark = F.broadcast(hot.select(F.col(key).alias("_hot_key")))
+    met = lambda df: df.join(mark, F.col(key) == F.col("_hot_key"), "left")
+    one, all_ = F.array(F.lit(0).cast("long")), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    dealt = met(rows).withColumn("_salt", F.when(F.col("_hot_key").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0)).drop("_hot_key")
+    spread = met(facts).withColumn("_salt", F.explode(F.when(F.col("_hot_key").isNotNull(), all_).otherwise(one))).drop("_hot_key")
+    return dealt.join(spread, [key, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (a, b), bigint: root is the smallest node reachable.
 

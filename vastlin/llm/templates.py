@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vastlin.llm.shared import boxed, checkpointed, unboxed
+from vastlin.llm.shared import boxed, checkpointed, hot_keys, salted_join, unboxed
 from vastlin.llm.text import add_columns, chunks, text_of
 
 MIN_TOKENS, LEADING, SIMILARITY, MIN_TEXTS = 5, 3, 0.7, 5
@@ -123,12 +123,14 @@ def grow(rows: Iterator[tuple[int, int, str]], similarity: float) -> Iterator[tu
             yield line, name
 
 
-def recurring(docs: DataFrame, text: str, key: str, min_tokens: int, leading: int, similarity: float, min_texts: int) -> DataFrame:
-    """(line, first_key, first_hash) of the lines of recurring templates, and the first document of each."""
-    one = docs.where(F.col(text).isNotNull()).groupBy("_text_hash").agg(F.min(key).alias("_first"))
+def recurring(docs: DataFrame, one: DataFrame, text: str, min_tokens: int, leading: int, similarity: float, min_texts: int) -> DataFrame:
+    """(_text_hash, line, keep_key, keep_hash): the lines of recurring templates in every text, and the first document of the template.
+
+    ``one`` holds the smallest key of each text as ``_first``. Lines and templates that many texts share are dealt over several tasks.
+    """
     # equal texts fall together here, before lines are counted
     met = checkpointed(lines_of(docs, text, min_tokens, leading).distinct())
-    counts = met.groupBy("leaf", "line").agg(F.count("*").alias("n"))
+    counts = checkpointed(met.groupBy("leaf", "line").agg(F.count("*").alias("n")))
     busy = counts.where("leaf <> line").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_texts).select("leaf")
     slots = np.zeros(SLOTS, bool)
     slots[busy.select(F.pmod("leaf", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()] = True
@@ -147,12 +149,12 @@ def recurring(docs: DataFrame, text: str, key: str, min_tokens: int, leading: in
 
     alone = counts.where((F.col("leaf") == F.col("line")) & (F.col("n") >= min_texts)).select("line", F.col("line").alias("template"))
     tree = checkpointed(lines.select("leaf", "line", "sample").repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(run, "line long, template long").unionByName(alone))
-    placed = met.select("_text_hash", "line").join(tree, "line").join(one, "_text_hash")
+    placed = salted_join(met.select("_text_hash", "line"), tree, "line", hot_keys(counts, "line"), F.col("_text_hash"))
     # texts of a template: distinct ones, since a text may have several of its lines
-    texts = placed.groupBy("template", "_text_hash").agg(F.min("_first").alias("_first"))
+    texts = placed.join(one.select("_text_hash", "_first"), "_text_hash").groupBy("template", "_text_hash").agg(F.min("_first").alias("_first"))
     counted = texts.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("_first", "_text_hash")).alias("f")).where(F.col("n") >= min_texts)
-    drop = counted.select("template", F.col("f._first").alias("keep_key"), F.col("f._text_hash").alias("keep_hash"))
-    return placed.join(drop, "template").select("_text_hash", "line", "keep_key", "keep_hash")
+    drop = checkpointed(counted.select("template", "n", F.col("f._first").alias("keep_key"), F.col("f._text_hash").alias("keep_hash")))
+    return salted_join(placed, drop.drop("n"), "template", hot_keys(drop, "template"), F.col("_text_hash")).select("_text_hash", "line", "keep_key", "keep_hash")
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -168,10 +170,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_to
     has one line. Rows with equal key and text get equal results, so repeated rows stay repeated. Columns named
     as the two counts are replaced.
     """
-    marked = boxed(docs, text, _key=F.col(key), _text_hash=F.xxhash64(F.col(text)))
-    drop = recurring(marked, "_text", "_key", min_tokens, leading, similarity, min_texts)
+    # null texts have no lines, and go by their keys, not all to one task
+    marked = boxed(docs, text, _key=F.col(key), _text_hash=F.xxhash64(F.coalesce(F.col(text), F.col(key).cast("string"))))
+    one = checkpointed(marked.where(F.col("_text").isNotNull()).groupBy("_text_hash").agg(F.min("_key").alias("_first"), F.count("*").alias("n")))
+    drop = recurring(marked, one, "_text", min_tokens, leading, similarity, min_texts)
     of_text = drop.groupBy("_text_hash").agg(F.collect_list(F.struct("line", "keep_key", "keep_hash")).alias("_drop"))
-    met = marked.join(of_text, "_text_hash", "left")
+    met = salted_join(marked, of_text, "_text_hash", hot_keys(one, "_text_hash"), F.col("_key"), "left")
     mine = F.filter("_drop", lambda d: ~(d["keep_key"].eqNullSafe(F.col("_key")) & (d["keep_hash"] == F.col("_text_hash"))))
     met = met.select("_row", "_text", F.transform(F.coalesce(mine, F.array()), lambda d: d["line"]).alias("_lines"))
 
