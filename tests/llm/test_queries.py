@@ -228,6 +228,20 @@ def test_salted_join_as_a_plain_one(spark):
         assert sorted(map(str, got.select("k", "x", "f").collect())) == sorted(map(str, rows.join(facts, "k", how).select("k", "x", "f").collect()))
 
 
+def test_components_with_hubs_by_brute_force(spark):
+    rnd = np.random.default_rng(3)
+    links = [(1000, i) for i in range(1, 200)] + [(i, i + 1) for i in range(2000, 2050)] + [(5, 5), (7, 1000), (1000, 7)]
+    links += [tuple(map(int, x)) for x in rnd.integers(3000, 3400, (220, 2))] + [(4000 + i, 4500) for i in range(100)] + [(4500, 2050)]
+    root = {x: x for p in links for x in p}
+    for _ in links:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    got = {r.node: r.root for r in shared.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root[x] for x in linked}
+    assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_a_line_and_a_template_in_very_many_texts(spark):
     rows = [(i, f"{plain(i, 9)}\nall rights reserved\nread more about {plain(i, 1)} on the next page of it\n{plain(i + 500, 7)}") for i in range(200)]
     rows += [(1000 + i, rows[7][1]) for i in range(150)] + [(2000 + i, None) for i in range(100)]

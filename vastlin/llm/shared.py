@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,20 +68,22 @@ def salted_join(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame, by:
     return dealt.join(spread, [key, "_salt"], how).drop("_salt")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b), bigint: root is the smallest node reachable.
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014), which need a logarithmic number of
-    rounds in practice; each round aggregates a minimum per node first, so a hot node is combined before the shuffle.
-    Self-loops are ignored, repeated edges count once. Raises RuntimeError if ``max_rounds`` aren't enough.
+    rounds in practice; each round aggregates a minimum per node first, so a hot node is combined before the shuffle,
+    and the links of a hub are dealt over several tasks where they meet its minimum.
+    Self-loops are ignored, repeated edges count once.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = checkpointed(now)
-    mark = None
-    for n in range(max_rounds):
+    links, mark = now.count(), None
+    for n in count():  # each round makes progress until nothing changes
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        hubs = least.where(F.col("n") >= max(HOT_SHARE * 2 * links, SALTS))  # few, since their shares add up to one
+        large = salted_join(both, least.drop("n"), "u", hubs, F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_min, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v")
         now = checkpointed(small.distinct())
@@ -88,8 +91,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seen == mark:
             roots = now.select("v").distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
-        mark = seen
-        del both, least, large, small_min, small
+        links, mark = seen[0], seen
+        del both, least, hubs, large, small_min, small
         if n % 4 == 3:
             release(now)
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
