@@ -82,16 +82,16 @@ def components(edges: DataFrame) -> DataFrame:
     for n in count():  # each round makes progress until nothing changes
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        hubs = least.where(F.col("n") >= max(HOT_SHARE * 2 * links, SALTS))  # few, since their shares add up to one
-        large = salted_join(both, least.drop("n"), "u", hubs, F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_min, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v")
+        hub = F.col("n") >= max(HOT_SHARE * 2 * links, SALTS)  # few, since their shares add up to one
+        large = salted_join(both, least.drop("n"), "u", least.where(hub), F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small_min = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = salted_join(large, small_min.drop("n"), "u", small_min.where(hub), F.col("v")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v")
         now = checkpointed(small.distinct())
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == mark:
             roots = now.select("v").distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
         links, mark = seen[0], seen
-        del both, least, hubs, large, small_min, small
+        del both, least, large, small_min, small
         if n % 4 == 3:
             release(now)
