@@ -208,6 +208,25 @@ def test_passages_that_stand_twice_in_a_text(spark):
     assert covered(1) == {*range(60), *range(90, 150)} and covered(2) == set(range(70, 130)) and {*range(20, 80), *range(100, 220)} <= covered(3) <= set(range(20, 220))
 
 
+def test_passages_of_which_others_have_either_half(spark):
+    """All seeds of a run lead to texts that have less than the run; with four places of it, and as a unit that repeats."""
+    rows, want = [], set()
+    for t in range(10):
+        run = prose(10_000 + t, 56).split()
+        parts = [run, run, *([run[:36]] * 6), *([run[20:]] * 6), *([run] * (t % 3))]
+        ids = [100 * t + i for i in range(len(parts))]
+        rows += [(i, f"{prose(20_000 + i, 20)} {' '.join(part)} {prose(30_000 + i, 20)}") for i, part in zip(ids, parts, strict=True)]
+        want.add(frozenset(i for i, part in zip(ids, parts, strict=True) if part is run))
+    rows += [(5000 + i, f"{prose(40_000 + i, 20)} {'tick tock ' * (30 if i in (3, 8) else 12)}{prose(50_000 + i, 20)}") for i in range(12)]
+    want.add(frozenset((5003, 5008)))
+    found = {}
+    for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.end - r.start >= 50
+        sides = found.get(r.doc_id, {r.doc_id}) | found.get(r.other_id, {r.other_id})
+        found.update({i: sides for i in sides})
+    assert {frozenset(x) for x in found.values()} == want
+
+
 def test_short_and_digit_heavy_lines(spark):
     short, digits, han = "All rights reserved.", "12 34 56 78 90 tel", "版权所有不得转载"
     rows = [(i, f"{plain(i, 20)}\n{short}\n\n{digits}\n{han}\n{i} {i + 1} {i + 2} 4 5 6\npage {i}\n{plain(i + 100, 8)}") for i in range(8)]
