@@ -197,6 +197,17 @@ def test_alignment_counts_all_of_a_chain():
     assert passages.spans(runs) == [(0, 60, 0, 60, 60), (200, 269, 60, 129, 69)]
 
 
+def test_look_ahead_by_brute_force():
+    rnd = random.Random(2)
+    look, words = passages.LOOK, passages.RESUME
+    for _ in range(300):
+        a, b = ([rnd.randrange(rnd.choice([2, 4, 9])) for _ in range(rnd.randrange(look + words + 1))] for _ in range(2))
+        near = [(p + q, p, q) for p in range(look + 1) for q in range(look + 1) if p + q < 2 * look and len(a[p : p + words]) == words and a[p : p + words] == b[q : q + words]]
+        assert passages._ahead(a, b) == (min(near)[1:] if near else None)
+        n = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        assert passages._equal([1] * 130 + a, [1] * 130 + b, 0, 0) == 130 + n and passages._equal(a, b, len(a), 0) == 0
+
+
 def test_a_far_chain_hides_no_near_one():
     x = np.concatenate((np.arange(0, 993, 5), np.arange(1100, 1393, 5)))
     assert sorted(passages.chain(x, x)) == [(0, 998, 0, 998), (1100, 1398, 1100, 1398)]

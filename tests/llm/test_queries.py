@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vastlin.llm import bpe, decontaminate, jaccard, language, passages, pii, quality, shared, simhash, suffix_tree, templates
+from vastlin.llm import bpe, decontaminate, jaccard, language, passages, pii, quality, queries, shared, simhash, suffix_tree, templates
 from vastlin.llm.queries import tokenizer_path
 
 WORDS = "river stone light forest window garden letter winter summer silver copper bridge market corner pencil bottle engine ladder mirror basket".split()
@@ -227,6 +227,21 @@ def test_passages_of_which_others_have_either_half(spark):
     assert {frozenset(x) for x in found.values()} == want
 
 
+def test_every_text_with_a_passage_has_rows(spark, tmp_path):
+    """The first text with a passage too, one that is copied, and the first place of a passage that a text repeats."""
+    a, b, c = prose(61, 60), prose(62, 70), prose(63, 80)
+    rows = [(i, f"{prose(600 + i, 30 + i)} {a} {prose(700 + i, 20)}") for i in range(5)]
+    rows += [(10, c), (11, c), (12, c), (20, f"{b} {prose(64, 60)} {b}"), (30, prose(65, 200)), (31, "short"), (32, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op1_passages(spark, str(tmp_path)).collect()
+    spans = {}
+    for r in got:
+        spans.setdefault(r.doc_id, set()).add((r.start, r.end))
+    assert spans == {**{i: {(30 + i, 90 + i)} for i in range(5)}, 10: {(0, 80)}, 11: {(0, 80)}, 12: {(0, 80)}, 20: {(0, 70), (130, 200)}}
+    sides = {(r.doc_id, r.other_id, r.start, r.end, r.other_start, r.other_end) for r in got}
+    assert len(sides) == len(got) and {(y, x, s2, e2, s, e) for x, y, s, e, s2, e2 in sides} == sides
+
+
 def test_short_and_digit_heavy_lines(spark):
     short, digits, han = "All rights reserved.", "12 34 56 78 90 tel", "版权所有不得转载"
     rows = [(i, f"{plain(i, 20)}\n{short}\n\n{digits}\n{han}\n{i} {i + 1} {i + 2} 4 5 6\npage {i}\n{plain(i + 100, 8)}") for i in range(8)]
