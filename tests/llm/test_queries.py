@@ -418,3 +418,21 @@ def test_simhash_recall_of_long_signatures(spark):
     code = simhash.signatures(spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(np.concatenate((a, b)))], "vec long, embedding array<double>, size long"), d, bits, tables).orderBy("vec").toPandas()
     code = np.array(code["codes"].tolist())
     assert (code[:n] == code[n:]).any(1).mean() >= 0.99
+
+
+def test_checkpoints_of_many_small_partitions_take_few_files_and_keep_all_rows(spark, monkeypatch):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    written, write = [], type(spark.range(0)).checkpoint
+    monkeypatch.setattr(type(spark.range(0)), "checkpoint", lambda self, *a: (written.append((out := write(self, *a)).rdd.getNumPartitions()), out)[1])
+    spark.conf.set("spark.sql.shuffle.partitions", 211)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = shared.checkpointed(spark.range(5000).selectExpr("id % 1000 as k").groupBy("k").count())
+        assert sorted(map(tuple, rows.collect())) == [(k, 5) for k in range(1000)] and written == [53]
+        assert shared.checkpointed(spark.range(1000).repartition("id"), merge=False).count() == 1000 and written.pop() == 211
+        chain = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+        assert {(r.node, r.root) for r in shared.components(chain).collect()} == {(i, 0) for i in range(31)}
+        assert written[1] == 53 and max(written[2:]) == 4
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
